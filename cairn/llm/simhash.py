@@ -206,7 +206,7 @@ def link_fingerprints(prints: DataFrame, bits: int = 4, block: int = 4096) -> Da
     return rows.mapInArrow(_link_lists(bits), "u long, v long").distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, block: int = 4096) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, block: int = 4096, width: int = 4) -> DataFrame:
     """One row for each document: id, ``simhash``, ``fingerprint`` (hex) and ``component_id``.
 
     ``component_id`` is the least id reachable over links of ``bits`` or fewer
@@ -216,7 +216,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows each get their row.  Columns besides id and text are not read.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = staged(with_fingerprints(slim, "text", keep=["id"]), "simhash")
+    marked = staged(with_fingerprints(slim, "text", width, keep=["id"]), "simhash")
     prints = staged(marked.groupBy("simhash").agg(F.min("id").alias("least_id")), "prints")
     stars = connected_components(link_fingerprints(prints, bits, block))
     rooted = prints.join(stars, F.col("simhash") == F.col("u"), "left").select("simhash", "least_id", F.coalesce("v", "simhash").alias("root"))
