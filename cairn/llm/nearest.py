@@ -113,7 +113,7 @@ def adaptive_scan(q: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def search(df: DataFrame, queries: Column, k: int = 20, probes: float = 0.35, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries: Column, k: int = 20, probes: float = 0.7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) for each distinct id among the rows of ``queries``.
 
     ``probes`` is the share of lists a query visits, nearest first; more are
