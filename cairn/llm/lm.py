@@ -59,24 +59,29 @@ class Lattice:
     MARK = "▁"
 
     def __init__(self, pieces: dict[str, float], byte_logs: list[float], stop: float):
-        self.pieces, self.byte_logs, self.stop = pieces, byte_logs, stop
-        self.longest = max(map(len, pieces), default=1)
+        self.byte_logs, self.stop = byte_logs, stop
+        # Every prefix of a piece; none where no piece ends.
+        self.arcs: dict[str, float | None] = {x[:i]: None for x in pieces for i in range(1, len(x))}
+        self.arcs |= pieces
 
     def log_probability(self, word: bytes) -> float:
         """Log of the sum over all segmentations of a word's spelling."""
         s = self.MARK + word.decode("utf-8", "replace")
-        n, get, longest, exp, log = len(s), self.pieces.get, self.longest, math.exp, math.log
-        forward = [0.0]
-        for end in range(1, n + 1):
-            ch = s[end - 1]
-            arcs = [forward[end - 1] + sum(self.byte_logs[b] for b in ch.encode())]
-            for start in range(max(0, end - longest), end):
-                p = get(s[start:end])
+        n, get, exp, log = len(s), self.arcs.get, math.exp, math.log
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        forward = 0.0
+        for start in range(n):
+            into[start + 1].append(forward + sum([self.byte_logs[b] for b in s[start].encode()]))
+            for end in range(start + 1, n + 1):
+                p = get(s[start:end], 0.0)
+                if p == 0.0:  # no piece has probability one
+                    break
                 if p is not None:
-                    arcs.append(forward[start] + p)
-            top = max(arcs)
-            forward.append(top + log(sum(exp(a - top) for a in arcs)) if len(arcs) > 1 else top)
-        return forward[n] + self.stop
+                    into[end].append(forward + p)
+            at = into[start + 1]
+            top = max(at)
+            forward = top + log(sum([exp(a - top) for a in at])) if len(at) > 1 else top
+        return forward + self.stop
 
 
 def token_counts(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
