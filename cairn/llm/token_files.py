@@ -3,8 +3,9 @@
 Documents are put in order of id and their ids, each document closed by an end
 id, run on across sequences of a fixed length.  A shard is one file in Arrow's
 file format: record batches of a fixed number of sequences, with ``input_ids``
-(fixed-size list of unsigned 32-bit integers) and ``mask`` (fixed-size list of
-bytes, 0 on the padding after a shard's last id).  Sequence s of a shard is
+(fixed-size list of the narrowest of 16 and 32 unsigned bits that holds the
+vocabulary) and ``mask`` (fixed-size list of booleans, false on the padding
+after a shard's last id).  Sequence s of a shard is
 row s mod B of batch s div B, so a memory-mapped file gives any of them
 without copying or reading others.  An index table says where each document
 lies.
@@ -12,7 +13,9 @@ lies.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,27 +24,82 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import default_vocabulary
-from .common import annotate, dropped, new_path, staged
+from .bpe import LONG_PIECE, PATTERN, REMEMBERED, default_vocabulary
+from .common import annotate, new_path, staged
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
-#: Ids that a shard takes, about.
-SHARD_IDS = 1 << 26
+#: Bytes of text that a shard takes, about.
+SHARD_BYTES = 1 << 26
 
 
-@lru_cache(maxsize=2)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: The same cuts in ASCII text.
+ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
 
-    coder = Tokenizer.from_file(path)
-    coder.no_padding()
-    coder.no_truncation()
-    return coder
+
+class LibraryEncoder:
+    """The tokenizers library, shown each distinct piece of text once.
+
+    Where the file asks for the byte-level pre-tokenizer alone, the library
+    encodes the pieces it cuts a text into one by one, and a piece by itself
+    is cut no further; the ids of pieces met before are remembered.  Texts
+    with an added token, and those of any other vocabulary, go to the library
+    whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.no_padding()
+        self.coder.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.plain = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.plain = self.plain and not any(t.get("normalized") for t in spec.get("added_tokens", []))
+        self.highest = max(self.coder.get_vocab(with_added_tokens=True).values())
+        self.cut, self.cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+        self.memory: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of every piece, in one call of the library: each token says which piece it is of."""
+        found = self.coder.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces)), side="right")).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if not self.plain or any(t in text for t in self.added):
+            return self.whole(text)
+        pieces = self.cut_ascii(text) if text.isascii() else self.cut(text)
+        new = [x for x in set(pieces) if x not in self.memory]
+        if not new:
+            return b"".join(map(self.memory.__getitem__, pieces))
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory.clear()
+            new = list(set(pieces))
+        self.memory |= zip(new, self.each(new))
+        out = b"".join(map(self.memory.__getitem__, pieces))
+        for x in new:
+            if len(x) > LONG_PIECE:
+                del self.memory[x]
+        return out
+
+
+_library = lru_cache(maxsize=2)(LibraryEncoder)
 
 
 def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, keep: list[str] | None = None) -> DataFrame:
@@ -49,10 +107,10 @@ def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     path = vocabulary or default_vocabulary()
 
     def make():
-        coder = _library(path)
+        coder, end = _library(path), np.array([end_id], dtype="<u4").tobytes()
 
         def run(texts):
-            ids = [np.array([*coder.encode(x.as_py() or "", add_special_tokens=False).ids, end_id], dtype="<u4").tobytes() for x in texts]
+            ids = [coder.encode(x.as_py()) + end for x in texts]
             return [ids, [len(x) // 4 for x in ids]]
 
         return run
@@ -60,26 +118,29 @@ def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     return annotate(docs, text_col, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], keep)
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, highest: int) -> pa.Schema:
+    """``highest``: the highest id that a file may hold."""
+    kind = pa.uint16() if highest < 1 << 16 else pa.uint32()
+    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Ids in, whole batches out; memory holds less than one batch besides the ids given."""
 
-    def __init__(self, uri: str, length: int, rows: int):
+    def __init__(self, uri: str, length: int, rows: int, highest: int):
         fs, path = pa.fs.FileSystem.from_uri(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.length, self.rows = length, rows
+        self.length, self.rows, self.schema = length, rows, file_schema(length, highest)
+        self.kind = self.schema.field(0).type.value_type.to_pandas_dtype()
         self.sink = fs.open_output_stream(path)
-        self.file = pa.ipc.new_file(self.sink, file_schema(length))
+        self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n_held = self.n = 0
 
     def add(self, ids: np.ndarray) -> int:
         """Position of the first id in the shard."""
         at, self.n = self.n, self.n + len(ids)
-        self.held.append(ids)
+        self.held.append(ids.astype(self.kind))
         self.n_held += len(ids)
         whole = self.length * self.rows
         if self.n_held >= whole:
@@ -91,10 +152,8 @@ class ShardWriter:
         return at
 
     def _batch(self, flat: np.ndarray, used: int) -> None:
-        mask = np.zeros(len(flat), dtype=np.uint8)
-        mask[:used] = 1
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat.astype(np.uint32), mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=file_schema(self.length)))
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, np.arange(len(flat)) < used)]
+        self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
     def close(self) -> None:
         if self.n_held:
@@ -119,11 +178,11 @@ class ShardReader:
             self._last = (i, self.file.get_batch(i))
         return self._last[1]
 
-    def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``s``."""
+    def sequence(self, s: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence ``s``: views of the file's own buffers."""
         b, r = self.batch(s // self.rows), s % self.rows
-        cut = slice(r * self.length, (r + 1) * self.length)
-        return tuple(b.column(c).values.to_numpy()[cut] for c in (0, 1))
+        ids, mask = (b.column(c).values.slice(r * self.length, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask
 
     def chunks(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, ``n`` of them, a batch at a time."""
@@ -135,16 +194,19 @@ class ShardReader:
             start, n = start + len(flat), n - len(flat)
 
 
-def write_token_files(encoded: DataFrame, folder: str, order: list[Column], shards: int, id_col: str = "doc_id", length: int = SEQUENCE, rows: int = BATCH) -> DataFrame:
-    """Write ``encoded`` (id, ids, n_tokens) in ``order`` to shards in ``folder``; return the index.
+def write_token_files(docs: DataFrame, folder: str, order: list[Column], shards: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, length: int = SEQUENCE, rows: int = BATCH, end_id: int = END_ID) -> DataFrame:
+    """Encode ``docs`` and write their ids in ``order`` to shards in ``folder``; return the index.
 
     The index has the id, ``shard``, ``file``, ``shard_start`` and ``n_tokens``.
-    Rows are dealt by ranges of ``order``; a shard that is written again after
-    a lost executor gets a new file name, and only names in the index count.
+    Texts are dealt by ranges of ``order`` and encoded where they are written,
+    so ids never cross a shuffle.  A shard that is written again after a lost
+    executor gets a new file name, and only names in the index count.
     """
-    kind = encoded.schema[id_col].dataType
+    path = vocabulary or default_vocabulary()
+    kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("shard_start", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    dealt = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    encoded = library_ids(dealt, text_col, path, end_id, keep=[id_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,14 +216,14 @@ def write_token_files(encoded: DataFrame, folder: str, order: list[Column], shar
         for batch in batches:
             if not batch.num_rows:
                 continue
-            writer = writer or ShardWriter(uri, length, rows)
+            writer = writer or ShardWriter(uri, length, rows, max(_library(path).highest, end_id))
             starts = [writer.add(np.frombuffer(x.as_py(), dtype="<u4")) for x in batch.column(1)]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([uri] * n), pa.array(starts, pa.int64()), batch.column(2)], names=schema.names)
         if writer:
             writer.close()
 
-    return staged(dealt.select(id_col, "ids", "n_tokens").mapInArrow(run, schema), "token-index")
+    return staged(encoded.select(id_col, "ids", "n_tokens").mapInArrow(run, schema), "token-index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -194,7 +256,7 @@ def read_checksums(index: DataFrame, rows: int = BATCH) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
-def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
+def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """(folder, index) of the files of all documents in ascending order of id.
 
     Null ids come first; rows of one id follow in order of their text's md5,
@@ -202,11 +264,10 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     files.  Other columns are not read.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_md5"))
-    encoded = staged(library_ids(slim, "text", vocabulary, keep=[id_col, "text_md5"]), "token-ids")
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_ids))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
     folder = new_path(spark, "token-files")
-    index = write_token_files(encoded, folder, [F.col(id_col).asc(), F.col("text_md5").asc()], shards, id_col)
-    dropped(encoded)
-    return folder, with_starts(index)
+    keyed = slim.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    index = write_token_files(keyed, folder, [F.col("id").asc(), F.col("text_md5").asc()], shards, "id", vocabulary=vocabulary)
+    return folder, with_starts(index).withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 """Operators against brute force, library results or round trips, on small frames with every odd case."""
 
+import random
 import zlib
 
 import numpy as np
@@ -36,7 +37,7 @@ def test_decode_ids(docs):
 
 
 def test_token_files_round_trip(docs):
-    folder, index = token_files.token_files(docs, shard_ids=64)
+    folder, index = token_files.token_files(docs, shard_bytes=64)
     library = Tokenizer.from_file(bpe.default_vocabulary())
     want = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), zlib.crc32(np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4"))) for r in docs.collect())
     got = sorted(token_files.read_checksums(index).collect(), key=lambda r: r["start"])
@@ -48,15 +49,24 @@ def test_token_files_round_trip(docs):
 
 def test_fixed_length_sequences(tmp_path):
     uri = f"file://{tmp_path}/t/a.arrow"
-    writer = token_files.ShardWriter(uri, 8, 2)
+    writer = token_files.ShardWriter(uri, 8, 2, 50256)
     assert [writer.add(np.arange(n, dtype="<u4")) for n in (5, 40, 0, 3)] == [0, 5, 45, 45]
     writer.close()
     reader = token_files.ShardReader(uri, 2)
-    flat, mask = (np.concatenate([reader.sequence(s)[i] for s in range(6)]) for i in (0, 1))
+    flat, mask = (np.concatenate([np.asarray(reader.sequence(s)[i]) for s in range(6)]) for i in (0, 1))
     assert flat[:48].tolist() == [*range(5), *range(40), *range(3)] and mask.tolist() == [1] * 48
     assert np.concatenate(list(reader.chunks(5, 40))).tolist() == list(range(40))
 
 
+def test_library_encoder_by_pieces():
+    rng = random.Random(1)
+    mine = token_files.LibraryEncoder(bpe.default_vocabulary())
+    letters = list(" \n\t'slldrevm  aé中1²!?<|>\U0001f600\r\x0b\x1c\x85_٣")
+    texts = ["".join(rng.choices(letters, k=rng.randrange(24))) for _ in range(3000)]
+    for x in [*texts, *(t.encode("ascii", "ignore").decode() for t in texts), "a<|endoftext|> b", "x" * 1000]:
+        assert mine.encode(x) == np.array(mine.coder.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
+
+
 def slow_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
