@@ -17,7 +17,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from uuid import uuid4
 
@@ -37,6 +37,8 @@ SEQUENCE, BATCH, END_ID = 2048, 64, 0
 SHARD_BYTES = 1 << 26
 
 
+#: Characters of text that are cut before their new pieces go to the library together.
+GROUP = 1 << 20
 #: The same cuts in ASCII text.
 ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
 
@@ -80,26 +82,48 @@ class LibraryEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.plain or any(t in text for t in self.added):
-            return self.whole(text)
-        pieces = self.cut_ascii(text) if text.isascii() else self.cut(text)
-        new = [x for x in set(pieces) if x not in self.memory]
-        if not new:
-            return b"".join(map(self.memory.__getitem__, pieces))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of whole texts; those together over ``GROUP`` characters are encoded before more are cut."""
+        out: list[bytes] = []
+        group: list[list[str] | bytes] = []
+        n = 0
+        for text in texts:
+            if not text:
+                group.append(b"")
+            elif not self.plain or any(t in text for t in self.added):
+                group.append(self.whole(text))
+            else:
+                group.append(self.cut_ascii(text) if text.isascii() else self.cut(text))
+                n += len(text)
+            if n > GROUP:
+                out += self._joined(group)
+                group, n = [], 0
+        return out + self._joined(group)
+
+    def _joined(self, group: list[list[str] | bytes]) -> list[bytes]:
+        cuts = [x for x in group if isinstance(x, list)]
+        new: set[str] = set()
+        for x in cuts:
+            new |= set(x).difference(self.memory)
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
-            new = list(set(pieces))
-        self.memory |= zip(new, self.each(new))
-        out = b"".join(map(self.memory.__getitem__, pieces))
-        for x in new:
+            new = set().union(*cuts)
+        pieces = list(new)
+        if pieces:
+            self.memory.update(zip(pieces, self.each(pieces)))
+        ids = self.memory.__getitem__
+        out = [x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in group]
+        for x in pieces:
             if len(x) > LONG_PIECE:
                 del self.memory[x]
         return out
 
 
-_library = lru_cache(maxsize=2)(LibraryEncoder)
+@lru_cache(maxsize=2)
+def _library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, keep: list[str] | None = None) -> DataFrame:
@@ -110,7 +134,7 @@ def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         coder, end = _library(path), np.array([end_id], dtype="<u4").tobytes()
 
         def run(texts):
-            ids = [coder.encode(x.as_py()) + end for x in texts]
+            ids = [x + end for x in coder.encode_all(x.as_py() for x in texts)]
             return [ids, [len(x) // 4 for x in ids]]
 
         return run
