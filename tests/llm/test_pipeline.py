@@ -1,6 +1,10 @@
+import random
+
 import duckdb
+import pytest
 
 import corpus_pipeline
+from cairn.llm import near
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +28,41 @@ def test_near_duplicates_keep_one(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     texts = duckdb.sql(f"SELECT count(DISTINCT text) FROM '{SF}/documents.parquet'").fetchall()[0][0]
     assert len(ids) == len(set(ids)) <= texts
+
+
+def slow_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_components_link_at_similarity(spark, block):
+    rng = random.Random(3)
+    texts = [None, "", " \n", "a b", "A  b", "a c"]
+    for n in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120 + n)]
+        texts.append(" ".join(words))
+        for edits in (1, 3, 5, 8):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    sets = [slow_shingles(t or "") for t in texts]
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    roots = {r["key"]: r["root"] for r in near.near_components(docs, block=block).collect()}
+    keys = [r["k"] for r in docs.select("doc_id", near.text_key("text").alias("k")).orderBy("doc_id").collect()]
+    got = [roots.get(k, k) for k in keys]
+    assert all((got[i] == got[j]) == (group[i] == group[j]) for i in range(len(got)) for j in range(i))
+
+
+def test_near_duplicates_drop_edited_copies(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(0, " ".join(words), "en", "s", 0), (1, " ".join(words[:100] + ["x", "y"] + words[102:]), "en", "s", 0), (2, " ".join(words[:100]), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
