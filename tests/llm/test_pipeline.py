@@ -66,3 +66,13 @@ def test_near_duplicates_drop_edited_copies(spark):
     rows = [(0, " ".join(words), "en", "s", 0), (1, " ".join(words[:100] + ["x", "y"] + words[102:]), "en", "s", 0), (2, " ".join(words[:100]), "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
+
+
+def test_near_duplicates_keep_one_of_each_group(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near_a = texts[0] + " more"
+    rows = [(None, texts[0]), (None, near_a), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, near_a.replace("a", "e")), (9, texts[3] + " more"), (10, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (8, near_a.replace("a", "e")), (10, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
