@@ -30,6 +30,9 @@ MOST_LANGUAGES = 10_000
 LETTERS, BLOCK = 4096, 256
 #: Scores are shares of exp(SHARPNESS * cosine).
 SHARPNESS = 3.0
+#: Cosine below which a text is no nearer to a prototype than by chance: three
+#: deviations of the cosine of two random vectors.
+CHANCE = 3 / DIMENSIONS**0.5
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -110,11 +113,13 @@ def learn_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append ``lang_pred``, ``score`` (0 to 1) and ``cosine`` to every row.
+    """Append ``lang_pred``, ``score`` (0 to 1), ``cosine`` and ``highest`` to every row.
 
     The nearest prototype by cosine wins, ties by code point; ``score`` is its
-    share of the exponentials of all cosines.  A null text, one without a
-    letter, and any text where nothing was learned is ``und`` with 0.
+    share of the exponentials of all cosines.  ``cosine`` is that to the
+    winner before centring, ``highest`` the greatest to any prototype.  A null
+    text, one without a letter, and any text where nothing was learned is
+    ``und`` with 0.
     """
     names = sorted(prototypes)
     table = np.array([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
@@ -122,24 +127,25 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     centred = table - centre
     lengths = np.linalg.norm(centred, axis=1)
     centred /= np.where(lengths > 0, lengths, 1.0)[:, None]
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cosine", T.DoubleType())]
+    fields = [T.StructField("lang_pred", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("score", "cosine", "highest"))]
 
     def make():
         profiler = Profiler()
 
         def judge(texts):
-            preds, scores, cosines = [], [], []
+            preds, scores, cosines, highest = [], [], [], []
             for x in texts:
                 v = profiler.vector(x.as_py())
                 if v is None or not names:
-                    preds.append("und"), scores.append(0.0), cosines.append(0.0)
+                    preds.append("und"), scores.append(0.0), cosines.append(0.0), highest.append(0.0)
                     continue
                 shifted = v - centre
                 cos = np.einsum("ld,d->l", centred, shifted / (np.linalg.norm(shifted) or 1.0))
                 best = int(np.argmax(cos))
                 e = np.exp((cos - cos[best]) * SHARPNESS)
                 preds.append(names[best]), scores.append(float(1 / e.sum())), cosines.append(float((table[best] * v).sum()))
-            return [preds, scores, cosines]
+                highest.append(float(np.einsum("ld,d->l", table, v).max()))
+            return [preds, scores, cosines, highest]
 
         return judge
 

@@ -76,3 +76,13 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (8, near_a.replace("a", "e")), (10, None)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_language_stage_drops_texts_of_no_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(-1, "### q !!! 123", None, "s", 0), (-2, "%% 12", None, "s", 0), (-3, None, None, "s", 0), (-4, "ぬ %% ゑ ## ゐ", None, "s", 0)], docs.schema)
+    ids = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(odd), SF).collect()}
+    assert min(ids) >= 0 and len(ids) >= 0.98 * docs.count()
+    unlabelled = odd.union(docs.limit(5).selectExpr("doc_id", "text", "cast(null as string)", "source", "n_chars"))
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, SF).collect()}
+    assert {-1, -4} <= left and not left & {-2, -3}
