@@ -102,6 +102,7 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row for each document: how many of its words the mix takes.
 
@@ -109,18 +110,21 @@ def mix_sources(
     ``copies`` (0 to ``most``) and ``taken`` = copies * size.  Null and empty
     texts have size 0; null is a source of its own; rows that agree in id and
     text stand or fall together; a source's sum misses its target by half of
-    its boundary document at most.  Other columns are not read.
+    its boundary document at most.  With ``keep``, these columns of the row come
+    before ``copies`` instead; no join on the id is needed.  Other columns are
+    not read.
     """
-    slim = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
-        word_count(F.col(f"`{text_col}`")).alias("size"), mix_hash(f"`{id_col}`", f"`{text_col}`").alias("hash"),
-    )
+    hashed = mix_hash(f"`{id_col}`", f"`{text_col}`").alias("hash")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), hashed)
     slim = staged(slim, "mix-sizes")
     targets = staged(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     cuts = _thresholds(slim, targets).select(F.col("source").alias("s"), "source_size", "target", "copies", "cut")
     if targets.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     copies = F.least(F.col("copies") + (F.col("hash") < F.col("cut")).cast("long"), F.lit(most).cast("long"))
+    if keep is not None:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{source_col}`").alias("source"), hashed)
+        return rows.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select("row.*", copies.alias("copies"))
     out = slim.join(cuts, F.col("source").eqNullSafe(F.col("s")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), "hash").select(
         id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("hash").alias("mix_hash")

@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
 from cairn.llm import near
+from cairn.llm.mixing import mix_hash, mix_sources
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +88,12 @@ def test_language_stage_drops_texts_of_no_language(spark):
     unlabelled = odd.union(docs.limit(5).selectExpr("doc_id", "text", "cast(null as string)", "source", "n_chars"))
     left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, SF).collect()}
     assert {-1, -4} <= left and not left & {-2, -3}
+
+
+def test_mixing_takes_each_row_by_its_own_count(spark):
+    rows = [(None if i % 3 else 5, f"word {i} " * (i % 7 + 1), "en", f"s{i % 4}" if i % 5 else None, i) for i in range(60)]
+    rows += rows[:10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = Counter(r["mix_hash"] for r in mix_sources(docs).collect() for _ in range(r["copies"]))
+    got = corpus_pipeline.mixing(spark, docs, SF).select(mix_hash("doc_id", "text").alias("h"))
+    assert Counter(r["h"] for r in got.collect()) == taken and taken
