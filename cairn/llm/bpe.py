@@ -1,6 +1,7 @@
 """Byte-level BPE: encoding by a queue of merge ranks, decoding by concatenation.
 
-A text is cut at added tokens, then by the pre-tokenizer's pattern.  The bytes
+A text is cut at added tokens, then at blanks (where the pre-tokenizer's
+pattern always cuts), and each distinct word by that pattern.  The bytes
 of each piece form a doubly linked list; a priority queue holds the ranks of
 adjacent pairs that the vocabulary merges.  The least rank (leftmost first) is
 merged and its new neighbours are queued; entries whose symbols have changed
@@ -23,9 +24,10 @@ from .common import annotate
 
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 1 << 18
-LONG_PIECE = 256
+#: Bytes of words remembered by a task, about; beyond it the memory starts anew.
+REMEMBERED = 1 << 27
+#: Bytes besides its letters that a remembered word takes, and the longest remembered.
+ENTRY, LONG_PIECE = 200, 256
 
 
 def default_vocabulary() -> str:
@@ -41,28 +43,88 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
 
 
-class _Memory(dict):
-    """Piece -> ids as little-endian unsigned 32-bit integers."""
+def _odd(ch: str) -> bool:
+    """Whether a character may count as white space: all that does is not printable, or the blank."""
+    return ch == " " or not ch.isprintable()
+
+
+def blank_edged(word: str) -> bool:
+    """Whether a word between blanks begins or ends with what may be white space, or is empty."""
+    return not word or not (word[0] + word[-1]).isprintable()
+
+
+def joined_blanks(words: list[str]) -> list[str]:
+    """Words of a text cut at blanks, with cuts within a run of white space undone.
+
+    The pattern of pre-tokenizers never takes a blank after another character
+    than white space, and leaves the last of a run to what follows; so a cut
+    before a blank falls between pieces where white space is missing on one
+    side at least.
+    """
+    out = words[:1]
+    for w in words[1:]:
+        if (not out[-1] or _odd(out[-1][-1])) and (not w or _odd(w[0])):
+            out[-1] += " " + w
+        else:
+            out.append(w)
+    return out
+
+
+class WordMemory(dict):
+    """Word -> ids of a blank and the word, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
+        self.encode, self.edged, self.held = encode, set(), 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
+        self.keep(word, ids)
         return ids
 
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= LONG_PIECE:
+            self[word] = ids
+            self.held += len(word) + len(ids) + ENTRY
+        if blank_edged(word):
+            self.edged.add(word)
+            self.held += len(word) + ENTRY
+
+    def keep_all(self, words: list[str], ids: list[bytes]) -> None:
+        if max(map(len, words)) > LONG_PIECE:
+            for word, x in zip(words, ids):
+                self.keep(word, x)
+            return
+        self.update(zip(words, ids))
+        edged = [w for w in words if blank_edged(w)]
+        self.edged.update(edged)
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * (len(words) + len(edged))
+
+    def trim(self) -> None:
+        """Start anew if too much is held; called between texts."""
+        if self.held > REMEMBERED:
+            self.clear()
+            self.edged.clear()
+            self.held = 0
+
+
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file asks for byte-level BPE cut by ``PATTERN``, and for nothing else."""
+    cut, model, added = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("added_tokens") or []
+    plain = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+    plain = plain and model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in odd)
+    return bool(plain) and not any(t.get(x) for t in added for x in ("normalized", "lstrip", "rstrip", "single_word"))
+
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary file (JSON, byte-level BPE)."""
+    """Encoder and decoder of one vocabulary file (JSON, plain byte-level BPE; any other is an error)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not plain_byte_level(spec):
+            raise ValueError(f"not a plain byte-level BPE vocabulary: {path}")
         model, alphabet = spec["model"], byte_alphabet()
         vocab = model["vocab"]
         self.byte_id = [0] * 256
@@ -78,7 +140,7 @@ class ByteBpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self._pieces = regex.compile(PATTERN).findall
-        self._memory = _Memory(self.encode_piece)
+        self._memory = WordMemory(self._encode_short)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         sym = [self.byte_id[b] for b in piece]
@@ -104,16 +166,33 @@ class ByteBpe:
                 heappush(queue, (m[0], h, sym[h], made, m[1]))
         return [s for s in sym if s >= 0]
 
+    def _encode_short(self, part: str) -> bytes:
+        ids: list[int] = []
+        for piece in self._pieces(part):
+            ids += self.encode_piece(piece.encode())
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _encode_part(self, part: str) -> bytes:
+        """Ids of a text without added tokens: cut at blanks, each word with its blank once."""
+        if not part:
+            return b""
+        self._memory.trim()
+        ids, words = self._memory.__getitem__, part.split(" ")
+        found = list(map(ids, words[1:]))
+        if not self._memory.edged.isdisjoint(words) or blank_edged(words[0]):
+            words = joined_blanks(words)
+            found = list(map(ids, words[1:]))
+        return self._encode_short(words[0]) + b"".join(found)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
-        ids = self._memory.__getitem__
         if not text:
             return b""
         if self._cut is None or not self._cut.search(text):
-            return b"".join(map(ids, self._pieces(text)))
+            return self._encode_part(text)
         out = []
         for i, part in enumerate(self._cut.split(text)):
-            out += [np.array([self.added[part]], dtype="<u4").tobytes()] if i % 2 else map(ids, self._pieces(part))
+            out.append(np.array([self.added[part]], dtype="<u4").tobytes() if i % 2 else self._encode_part(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a run of anything but these six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text, about, whose results a task holds at a time.
+BATCH_BYTES = 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,19 +40,44 @@ def fold(id_col: str, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests on one machine) is a local one set.
+    Only where a session on one machine (a local master, as in tests) has none
+    is a local one set; elsewhere that is an error, since executors do not
+    share a local folder.
     """
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+#: Paths made for each application, for ``sweep``.
+_MADE: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what operators of this application left in the shared folder.
+
+    Their results are read from there until they are written elsewhere, so
+    this is for the caller, once that is done.
+    """
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -63,10 +93,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a ``staged`` table that nothing will read again."""
-    spark = df.sparkSession
     for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
+
+
+def bounded(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in ``column`` hold ``most`` bytes or are one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def annotate(
@@ -81,7 +120,8 @@ def annotate(
     ``make`` runs once a task and returns a function from an array of texts
     (null as null) to one array for each of ``fields``.  ``keep`` names the
     columns that stay (all by default).  A kept column with the name of a new
-    one is replaced, as by ``withColumn``.
+    one is replaced, as by ``withColumn``.  What a batch returns is made and
+    passed on in slices of ``BATCH_BYTES`` of text.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -91,10 +131,11 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
-        for batch in batches:
-            out = judge(batch.column(batch.num_columns - 1))
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns += [pa.array(x, type=arrow.field(len(kept) + i).type) for i, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        for whole in batches:
+            for batch in bounded(whole, whole.num_columns - 1):
+                out = judge(batch.column(batch.num_columns - 1))
+                columns = [batch.column(i) for i in range(len(kept))]
+                columns += [pa.array(x, type=arrow.field(len(kept) + i).type) for i, x in enumerate(out)]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     return source.mapInArrow(run, schema)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,33 +23,30 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import LONG_PIECE, PATTERN, REMEMBERED, default_vocabulary
-from .common import annotate, new_path, staged
+from .bpe import WordMemory, blank_edged, default_vocabulary, joined_blanks, plain_byte_level
+from .common import bounded, new_path, staged
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
 #: Bytes of text that a shard takes, about.
 SHARD_BYTES = 1 << 26
-
-
-#: Characters of text that are cut before their new pieces go to the library together.
-GROUP = 1 << 20
-#: The same cuts in ASCII text.
-ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
+#: Shards whose sizes are summed together.
+SHARD_BLOCK = 1024
+#: Characters of text that are cut before their new words go to the library together.
+GROUP = 1 << 19
 
 
 class LibraryEncoder:
-    """The tokenizers library, shown each distinct piece of text once.
+    """The tokenizers library, shown each distinct word once.
 
-    Where the file asks for the byte-level pre-tokenizer alone, the library
-    encodes the pieces it cuts a text into one by one, and a piece by itself
-    is cut no further; the ids of pieces met before are remembered.  Texts
-    with an added token, and those of any other vocabulary, go to the library
-    whole.
+    Where the file is plain byte-level BPE, a text is cut at blanks, where the
+    library's own pre-tokenizer always cuts (see ``joined_blanks``), and the
+    library encodes each new word with its blank; ids of words met before are
+    remembered.  Texts with an added token, and those of any other vocabulary,
+    go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -62,22 +58,19 @@ class LibraryEncoder:
         self.coder.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        cut = spec.get("pre_tokenizer") or {}
-        self.plain = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.plain = plain_byte_level(spec)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.plain = self.plain and not any(t.get("normalized") for t in spec.get("added_tokens", []))
         self.highest = max(self.coder.get_vocab(with_added_tokens=True).values())
-        self.cut, self.cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
-        self.memory: dict[str, bytes] = {}
+        self.memory = WordMemory(self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of every piece, in one call of the library: each token says which piece it is of."""
-        found = self.coder.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of every word, in one call of the library: each token says which word it is of."""
+        found = self.coder.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces)), side="right")).tolist()
+        ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right")).tolist()
         return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
     def encode(self, text: str | None) -> bytes:
@@ -95,7 +88,7 @@ class LibraryEncoder:
             elif not self.plain or any(t in text for t in self.added):
                 group.append(self.whole(text))
             else:
-                group.append(self.cut_ascii(text) if text.isascii() else self.cut(text))
+                group.append(text.split(" "))
                 n += len(text)
             if n > GROUP:
                 out += self._joined(group)
@@ -103,22 +96,23 @@ class LibraryEncoder:
         return out + self._joined(group)
 
     def _joined(self, group: list[list[str] | bytes]) -> list[bytes]:
+        self.memory.trim()
         cuts = [x for x in group if isinstance(x, list)]
-        new: set[str] = set()
+        self._learn(set().union(*[x[1:] for x in cuts]))
         for x in cuts:
-            new |= set(x).difference(self.memory)
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = set().union(*cuts)
-        pieces = list(new)
-        if pieces:
-            self.memory.update(zip(pieces, self.each(pieces)))
+            if not self.memory.edged.isdisjoint(x) or blank_edged(x[0]):
+                x[:] = joined_blanks(x)
+                self._learn(set(x[1:]))
+        # A text's first word has no blank before it.
+        firsts = [x[0] for x in cuts if x[0]]
+        starts = iter(self.each(firsts) if firsts else ())
         ids = self.memory.__getitem__
-        out = [x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in group]
-        for x in pieces:
-            if len(x) > LONG_PIECE:
-                del self.memory[x]
-        return out
+        return [x if isinstance(x, bytes) else (next(starts) if x[0] else b"") + b"".join(map(ids, x[1:])) for x in group]
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.memory))
+        if new:
+            self.memory.keep_all(new, self.each([" " + x for x in new]))
 
 
 @lru_cache(maxsize=2)
@@ -126,22 +120,6 @@ def _library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def library_ids(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, keep: list[str] | None = None) -> DataFrame:
-    """Append ``ids`` (binary, little-endian) of whole texts (null: empty), the end id last, and ``n_tokens``."""
-    path = vocabulary or default_vocabulary()
-
-    def make():
-        coder, end = _library(path), np.array([end_id], dtype="<u4").tobytes()
-
-        def run(texts):
-            ids = [x + end for x in coder.encode_all(x.as_py() for x in texts)]
-            return [ids, [len(x) // 4 for x in ids]]
-
-        return run
-
-    return annotate(docs, text_col, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], keep)
-
-
 def file_schema(length: int, highest: int) -> pa.Schema:
     """``highest``: the highest id that a file may hold."""
     kind = pa.uint16() if highest < 1 << 16 else pa.uint32()
@@ -221,41 +199,53 @@ class ShardReader:
 def write_token_files(docs: DataFrame, folder: str, order: list[Column], shards: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, length: int = SEQUENCE, rows: int = BATCH, end_id: int = END_ID) -> DataFrame:
     """Encode ``docs`` and write their ids in ``order`` to shards in ``folder``; return the index.
 
-    The index has the id, ``shard``, ``file``, ``shard_start`` and ``n_tokens``.
-    Texts are dealt by ranges of ``order`` and encoded where they are written,
-    so ids never cross a shuffle.  A shard that is written again after a lost
+    The index has the id, ``shard``, ``file``, ``shard_start`` and ``n_tokens``
+    (the end id included).  Texts are dealt by ranges of ``order``; each shard
+    is encoded and written in one function, ``BATCH_BYTES`` of text at a time,
+    so ids never leave the worker.  A shard that is written again after a lost
     executor gets a new file name, and only names in the index count.
     """
     path = vocabulary or default_vocabulary()
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("shard_start", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("shard_start", T.LongType()), T.StructField("n_tokens", T.LongType())])
     dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    encoded = library_ids(dealt, text_col, path, end_id, keep=[id_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, coder = TaskContext.get().partitionId(), _library(path)
+        end = np.array([end_id], dtype="<u4")
         uri, writer = f"{folder}/shard-{shard:06d}-{uuid4().hex}.arrow", None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            writer = writer or ShardWriter(uri, length, rows, max(_library(path).highest, end_id))
-            starts = [writer.add(np.frombuffer(x.as_py(), dtype="<u4")) for x in batch.column(1)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([uri] * n), pa.array(starts, pa.int64()), batch.column(2)], names=schema.names)
+        for whole in batches:
+            for batch in bounded(whole, 1):
+                writer = writer or ShardWriter(uri, length, rows, max(coder.highest, end_id))
+                starts, counts = [], []
+                for ids in coder.encode_all(x.as_py() for x in batch.column(1)):
+                    starts.append(writer.add(np.frombuffer(ids, dtype="<u4")))
+                    writer.add(end)
+                    counts.append(len(ids) // 4 + 1)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([uri] * n), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
         if writer:
             writer.close()
 
-    return staged(encoded.select(id_col, "ids", "n_tokens").mapInArrow(run, schema), "token-index")
+    return staged(dealt.select(id_col, text_col).mapInArrow(run, schema), "token-index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Append ``start``: ids of all documents before.  The window is over shards, few rows."""
-    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_offset"))
-    return index.join(F.broadcast(offsets), F.col("shard") == F.col("s")).drop("s").withColumn("start", F.col("shard_offset") + F.col("shard_start"))
+    """Append ``start``: ids of all documents before.
+
+    One row for each shard is summed, in blocks of ``SHARD_BLOCK`` shards: a
+    window orders the blocks, others the shards of each block.  Spark picks
+    the join from the size of the offsets' table.
+    """
+    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("shard") / SHARD_BLOCK))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select(F.col("block").alias("b"), F.coalesce(F.sum("n").over(before(Window.orderBy("block"))), F.lit(0)).alias("block_offset"))
+    within = F.coalesce(F.sum("n").over(before(Window.partitionBy("block").orderBy("shard"))), F.lit(0))
+    offsets = sums.withColumn("within", within).join(blocks, F.col("block") == F.col("b"))
+    offsets = staged(offsets.select(F.col("shard").alias("s"), (F.col("block_offset") + F.col("within")).alias("shard_offset")), "token-offsets")
+    return index.join(offsets, F.col("shard") == F.col("s")).drop("s").withColumn("start", F.col("shard_offset") + F.col("shard_start"))
 
 
 def read_checksums(index: DataFrame, rows: int = BATCH) -> DataFrame:
@@ -283,15 +273,16 @@ def read_checksums(index: DataFrame, rows: int = BATCH) -> DataFrame:
 def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """(folder, index) of the files of all documents in ascending order of id.
 
-    Null ids come first; rows of one id follow in order of their text's md5,
-    so reruns agree.  Null and empty texts give the end id alone.  No rows: no
+    Null ids come first; rows of one id follow in order of a hash of their
+    text, then of the text, so reruns agree and rows of one id can be split
+    between shards.  Null and empty texts give the end id alone.  No rows: no
     files.  Other columns are not read.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
     folder = new_path(spark, "token-files")
-    keyed = slim.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    index = write_token_files(keyed, folder, [F.col("id").asc(), F.col("text_md5").asc()], shards, "id", vocabulary=vocabulary)
+    keyed = slim.withColumn("text_hash", F.xxhash64("text"))
+    index = write_token_files(keyed, folder, [F.col("id").asc(), F.col("text_hash").asc(), F.col("text").asc()], shards, "id", vocabulary=vocabulary)
     return folder, with_starts(index).withColumnRenamed("id", id_col)
