@@ -17,20 +17,25 @@ the sum of log10 P over its words and end.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import bounded, staged
 
-#: A word with more than this share of all tokens is frequent: at most 1 / share of them, which is broadcast.
-FREQUENT_SHARE = 1e-5
-#: Distinct words that a task counts before it passes them on.
-HELD = 200_000
+#: A word of at most so many bytes with more than this share of all tokens is
+#: frequent: at most 1 / share of them, 6 MB of letters, which is broadcast.
+FREQUENT_SHARE, FREQUENT_BYTES = 1e-5, 64
+#: Bytes of words, about, that a task counts before it passes them on; what an entry takes besides its letters.
+HELD, ENTRY = 1 << 25, 120
+#: Distinct words in one batch sent on.
+SENT = 20_000
 END = b""
 #: Fixed-point scale of the terms that cross a shuffle.
 FIXED = 10**9
@@ -88,27 +93,34 @@ def token_counts(docs: DataFrame, train: Column, text_col: str = "text") -> Data
     """(word, c, total): every distinct token's count in training rows and in all rows.
 
     Tasks count their own texts first, so a frequent word crosses the shuffle
-    once for each ``HELD`` distinct words, not once for each use.  The end of
+    once for each ``HELD`` bytes of words, not once for each use.  The end of
     a text is the empty word.
     """
     rows = docs.select(F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def flush(seen: list[Counter]) -> pa.RecordBatch:
-        words = list(set(seen[0]) | set(seen[1]))
-        learned, other = ([c[w] for w in words] for c in (seen[1], seen[0]))
-        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "c": pa.array(learned, pa.int64()), "total": pa.array([a + b for a, b in zip(learned, other)], pa.int64())})
+    def flush(seen: list[Counter]) -> Iterator[pa.RecordBatch]:
+        learned, other = seen[1], seen[0]
+        words = list(learned.keys() | other.keys())
+        for at in range(0, len(words), SENT):
+            part = words[at : at + SENT]
+            c = np.fromiter((learned[w] for w in part), np.int64, len(part))
+            total = c + np.fromiter((other[w] for w in part), np.int64, len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(c), pa.array(total)], names=["word", "c", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter(), Counter()]
+        seen, held = [Counter(), Counter()], 0
         for batch in batches:
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen[t].update(words_of(text.as_py()))
-                seen[t][END] += 1
-                if len(seen[0]) + len(seen[1]) > HELD:
-                    yield flush(seen)
-                    seen = [Counter(), Counter()]
-        if seen[0] or seen[1]:
-            yield flush(seen)
+                words, mine = words_of(text.as_py()), seen[t]
+                before = len(mine)
+                mine.update(words)
+                mine[END] += 1
+                if len(mine) > before:
+                    held += ENTRY * (len(mine) - before) + sum(map(len, words))
+                if held > HELD:
+                    yield from flush(seen)
+                    seen, held = [Counter(), Counter()], 0
+        yield from flush(seen)
 
     counted = rows.mapInArrow(run, "word binary, c long, total long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
@@ -185,8 +197,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     discount = once / (once + 2 * twice) if once and twice else 0.5
     lattice = fit_lattice(counts, vocabulary)
     scored = staged(word_scores(counts, lattice, n, v, discount), "lm-words")
-    floor = everything * FREQUENT_SHARE
-    frequent = {r[0]: (r[1], r[2], r[3]) for r in scored.where(F.col("total") > floor).select("word", "known", "base", "score").collect()}
+    often = (F.col("total") > everything * FREQUENT_SHARE) & (F.octet_length("word") <= FREQUENT_BYTES)
+    frequent = {r[0]: (r[1], r[2], r[3]) for r in scored.where(often).select("word", "known", "base", "score").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     # Numbers of rows: made once, as the table of frequent sums is written.
@@ -197,34 +209,38 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
         T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))),
     ])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text in batch.column(1):
-                counted = Counter(words_of(text.as_py()))
-                counted[END] += 1
-                known, base, score, rare = 0, [], [], []
-                for word, m in counted.items():
-                    hit = table.get(word)
-                    if hit is None:
-                        rare.append({"word": word, "n": m})
-                    else:
-                        known += m * hit[0]
-                        base.append(m * hit[1])
-                        score.append(m * hit[2])
-                for column, value in zip(out, (counted.total(), known, math.fsum(base), math.fsum(score), rare)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], rare_type)],
-                names=schema.names,
-            )
+        table, none = shared.value, (None, 0.0, 0.0)
+        for whole in batches:
+            for batch in bounded(whole, 1):
+                # The distinct rare words of all texts in flat arrays: their bytes, counts and ends.
+                words: list[bytes] = []
+                counts, ends = array("q"), array("i", [0])
+                sums: list[list] = [[] for _ in range(4)]
+                for text in batch.column(1):
+                    counted = Counter(words_of(text.as_py()))
+                    counted[END] += 1
+                    known, base, score = 0, [], []
+                    for word, m in counted.items():
+                        hit, b, x = table.get(word, none)
+                        if hit is None:
+                            words.append(word)
+                            counts.append(m)
+                        else:
+                            known += m * hit
+                            base.append(m * b)
+                            score.append(m * x)
+                    ends.append(len(words))
+                    for column, value in zip(sums, (counted.total(), known, math.fsum(base), math.fsum(score))):
+                        column.append(value)
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.array(counts, np.int64))], names=["word", "n"])
+                rare = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pairs)
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, sums, kinds), rare], names=schema.names)
 
     local = staged(slim.mapInArrow(run, schema), "lm-local")
     rare = local.select("k", F.explode("rare").alias("w")).select("k", F.col("w.word").alias("x"), F.col("w.n").alias("n"))
-    words = scored.where(F.col("total") <= floor).select("word", "known", "base", "score")
+    words = scored.where(~often).select("word", "known", "base", "score")
     met = rare.join(words, F.col("x") == F.col("word"))
     fixed = lambda c: F.sum(F.col("n") * F.round(F.col(c) * FIXED).cast("long"))
     sums = met.groupBy(F.col("k").alias("j")).agg(F.sum(F.col("n") * F.col("known").cast("long")).alias("known_rare"), fixed("base").alias("base_rare"), fixed("score").alias("score_rare"))
