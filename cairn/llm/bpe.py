@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,7 +28,7 @@ from .common import annotate
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of words remembered by a task, about; beyond it the memory starts anew.
-REMEMBERED = 1 << 27
+REMEMBERED = 3 << 26
 #: Bytes besides its letters that a remembered word takes, and the longest remembered.
 ENTRY, LONG_PIECE = 200, 256
 
@@ -70,42 +73,89 @@ def joined_blanks(words: list[str]) -> list[str]:
     return out
 
 
-class WordMemory(dict):
-    """Word -> ids of a blank and the word, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.edged, self.held = encode, set(), 0
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        self.keep(word, ids)
-        return ids
-
-    def keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= LONG_PIECE:
-            self[word] = ids
-            self.held += len(word) + len(ids) + ENTRY
-        if blank_edged(word):
-            self.edged.add(word)
-            self.held += len(word) + ENTRY
-
-    def keep_all(self, words: list[str], ids: list[bytes]) -> None:
-        if max(map(len, words)) > LONG_PIECE:
-            for word, x in zip(words, ids):
-                self.keep(word, x)
-            return
-        self.update(zip(words, ids))
-        edged = [w for w in words if blank_edged(w)]
-        self.edged.update(edged)
-        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * (len(words) + len(edged))
-
-    def trim(self) -> None:
-        """Start anew if too much is held; called between texts."""
+def strung(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts - ends + lengths).astype(kind), lengths) + np.arange(total, dtype=kind)]
+
+
+class WordEncoder:
+    """Texts to ids through their distinct words.
+
+    Texts are cut at blanks and their words numbered in Arrow; ``encode_words``
+    makes the ids of each new string by itself, and those of a blank and a word
+    are remembered up to ``REMEMBERED`` bytes.  Texts that hold one of ``added``
+    go to ``encode_whole``; those with a run of white space around a blank are
+    cut by ``joined_blanks``.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], added: Sequence[str]):
+        self.encode_words, self.encode_whole, self.added = encode_words, encode_whole, list(added)
+        self.memory: dict[str, bytes] = {}
+        self.held = 0
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank and each of the words."""
         if self.held > REMEMBERED:
-            self.clear()
-            self.edged.clear()
+            self.memory.clear()
             self.held = 0
+        found = list(map(self.memory.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if not new:
+            return found
+        made = self.encode_words([" " + w for w in new])
+        if max(map(len, new)) > LONG_PIECE:
+            self.memory.update((w, x) for w, x in zip(new, made) if len(w) <= LONG_PIECE)
+        else:
+            self.memory.update(zip(new, made))
+        self.held += sum(map(len, new)) + sum(map(len, made)) + ENTRY * len(new)
+        rest = iter(made)
+        return [next(rest) if x is None else x for x in found]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if any(t in text for t in self.added):
+            return self.encode_whole(text)
+        words = joined_blanks(text.split(" "))
+        first = self.encode_words(words[:1]) if words[0] else []
+        return b"".join(first + self._ids(words[1:]))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) in a row, and where each text's end."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        odd = np.zeros(n, dtype=bool)
+        for t in self.added:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        number, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary
+        some = np.flatnonzero(pc.match_substring_regex(words, r"^$|^[^!-~]|[^!-~]$").to_numpy(zero_copy_only=False))
+        edged = [i for i in some.tolist() if blank_edged(words[i].as_py())]
+        if edged:
+            flag = np.zeros(len(words), dtype=bool)
+            flag[edged] = True
+            odd |= np.logical_or.reduceat(flag[number], at[:-1])
+        # A text's first word has no blank before it.
+        firsts = words.take(pa.array(number[at[:-1]])).dictionary_encode()
+        ids = self._ids(words.to_pylist()) + self.encode_words(firsts.dictionary.to_pylist())
+        number[at[:-1]] = len(words) + firsts.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = strung(np.frombuffer(b"".join(ids), dtype="<u4"), (np.cumsum(size) - size)[number], size[number])
+        ends = np.cumsum(size[number])[at[1:] - 1]
+        if not odd.any():
+            return flat, ends
+        parts = np.split(flat, ends[:-1])
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.frombuffer(self.encode(texts[i].as_py()), dtype="<u4")
+        return np.concatenate(parts), np.cumsum(list(map(len, parts)))
 
 
 def plain_byte_level(spec: dict) -> bool:
@@ -140,7 +190,13 @@ class ByteBpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self._pieces = regex.compile(PATTERN).findall
-        self._memory = WordMemory(self._encode_short)
+        self.words = WordEncoder(lambda words: list(map(self._encode_short, words)), self._encode_whole, list(self.added))
+        self.string_at = np.zeros(max(self.strings) + 2, dtype=np.int64)
+        for i, x in self.strings.items():
+            self.string_at[i + 1] = len(x)
+        self.string_size = self.string_at[1:].copy()
+        self.string_at = np.cumsum(self.string_at)[:-1]
+        self.letters = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(len(self.string_at))), dtype=np.uint8)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         sym = [self.byte_id[b] for b in piece]
@@ -172,32 +228,36 @@ class ByteBpe:
             ids += self.encode_piece(piece.encode())
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _encode_part(self, part: str) -> bytes:
-        """Ids of a text without added tokens: cut at blanks, each word with its blank once."""
-        if not part:
-            return b""
-        self._memory.trim()
-        ids, words = self._memory.__getitem__, part.split(" ")
-        found = list(map(ids, words[1:]))
-        if not self._memory.edged.isdisjoint(words) or blank_edged(words[0]):
-            words = joined_blanks(words)
-            found = list(map(ids, words[1:]))
-        return self._encode_short(words[0]) + b"".join(found)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._cut is None or not self._cut.search(text):
-            return self._encode_part(text)
+    def _encode_whole(self, text: str) -> bytes:
+        """Cut at added tokens first."""
         out = []
         for i, part in enumerate(self._cut.split(text)):
-            out.append(np.array([self.added[part]], dtype="<u4").tobytes() if i % 2 else self._encode_part(part))
+            out.append(np.array([self.added[part]], dtype="<u4").tobytes() if i % 2 else self.words.encode(part))
         return b"".join(out)
 
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
+        return self.words.encode(text)
+
     def decode(self, ids: bytes) -> str:
         """Text of ids: their vocabulary strings joined, invalid UTF-8 replaced."""
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+        flat = np.frombuffer(ids, dtype="<u4")
+        return self.decode_all(flat, np.array([len(flat)]))[0]
+
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of ids in a row that end where ``ends`` says."""
+        size = self.string_size[flat]
+        raw = strung(self.letters, self.string_at[flat], size).tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].tolist()
+        return [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
+
+
+def binary_runs(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of ids in a row that end where ``ends`` says."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("more ids in a batch than a binary column holds")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, dtype="<u4"))])
 
 
 @lru_cache(maxsize=2)
@@ -222,9 +282,9 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         coder = _coder(path)
 
         def run(texts):
-            ids = [coder.encode(x.as_py()) for x in texts]
-            out = [ids, [len(x) // 4 for x in ids]]
-            return [*out, list(map(coder.decode, ids))] if decoded else out
+            flat, ends = coder.words.encode_array(texts)
+            out = [binary_runs(flat, ends), np.diff(ends, prepend=0)]
+            return [*out, coder.decode_all(flat, ends)] if decoded else out
 
         return run
 

@@ -135,7 +135,7 @@ def annotate(
             for batch in bounded(whole, whole.num_columns - 1):
                 out = judge(batch.column(batch.num_columns - 1))
                 columns = [batch.column(i) for i in range(len(kept))]
-                columns += [pa.array(x, type=arrow.field(len(kept) + i).type) for i, x in enumerate(out)]
+                columns += [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(len(kept) + i).type) for i, x in enumerate(out)]
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     return source.mapInArrow(run, schema)

@@ -16,18 +16,19 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WordMemory, blank_edged, default_vocabulary, joined_blanks, plain_byte_level
+from .bpe import WordEncoder, blank_edged, default_vocabulary, plain_byte_level
 from .common import bounded, new_path, staged
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
@@ -35,18 +36,16 @@ SEQUENCE, BATCH, END_ID = 2048, 64, 0
 SHARD_BYTES = 1 << 26
 #: Shards whose sizes are summed together.
 SHARD_BLOCK = 1024
-#: Characters of text that are cut before their new words go to the library together.
-GROUP = 1 << 19
+#: Words that the library encodes in one call.
+GROUP = 1 << 16
 
 
 class LibraryEncoder:
     """The tokenizers library, shown each distinct word once.
 
     Where the file is plain byte-level BPE, a text is cut at blanks, where the
-    library's own pre-tokenizer always cuts (see ``joined_blanks``), and the
-    library encodes each new word with its blank; ids of words met before are
-    remembered.  Texts with an added token, and those of any other vocabulary,
-    go to the library whole.
+    library's own pre-tokenizer always cuts (see ``WordEncoder``).  Texts with
+    an added token, and those of any other vocabulary, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -58,61 +57,58 @@ class LibraryEncoder:
         self.coder.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.highest = max(vocabulary.values())
         self.plain = plain_byte_level(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.highest = max(self.coder.get_vocab(with_added_tokens=True).values())
-        self.memory = WordMemory(self.whole)
+        self.words = WordEncoder(self.each, self.whole, [t["content"] for t in spec.get("added_tokens", [])])
+        # A letter of a vocabulary string stands for a byte.
+        self.sizes = np.zeros(self.highest + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def each(self, words: list[str]) -> list[bytes]:
-        """Ids of every word, in one call of the library: each token says which word it is of."""
-        found = self.coder.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right")).tolist()
-        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+        """Ids of every string by itself.
+
+        Those of a blank and a word that begins and ends in no white space go
+        to the library as one text: it cuts before each blank, and the lengths
+        of the tokens say where.
+        """
+        strings = pa.array(words, pa.string())
+        fine = pc.match_substring_regex(strings, r"^ ([!-~]|[!-~](?s:.*)[!-~])$").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~fine).tolist():
+            fine[i] = words[i][:1] == " " and not blank_edged(words[i][1:])
+        length, easy = pc.binary_length(strings).to_numpy(), np.flatnonzero(fine)
+        out = list(words)
+        for at in range(0, len(easy), GROUP):
+            some = easy[at : at + GROUP]
+            places = some.tolist()
+            text = "".join([words[i] for i in places])
+            ids = np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            reached, wanted = np.cumsum(self.sizes[ids]), np.cumsum(length[some])
+            cuts = np.searchsorted(reached, wanted) + 1
+            if reached[-1] != wanted[-1] or (reached[cuts - 1] != wanted).any():
+                raise ValueError("the library cut a text elsewhere than before a blank")
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for i, x, y in zip(places, [0, *cuts], cuts):
+                out[i] = raw[x:y]
+        for i in np.flatnonzero(~fine).tolist():
+            out[i] = self.whole(words[i])
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of whole texts; those together over ``GROUP`` characters are encoded before more are cut."""
-        out: list[bytes] = []
-        group: list[list[str] | bytes] = []
-        n = 0
-        for text in texts:
-            if not text:
-                group.append(b"")
-            elif not self.plain or any(t in text for t in self.added):
-                group.append(self.whole(text))
-            else:
-                group.append(text.split(" "))
-                n += len(text)
-            if n > GROUP:
-                out += self._joined(group)
-                group, n = [], 0
-        return out + self._joined(group)
-
-    def _joined(self, group: list[list[str] | bytes]) -> list[bytes]:
-        self.memory.trim()
-        cuts = [x for x in group if isinstance(x, list)]
-        self._learn(set().union(*[x[1:] for x in cuts]))
-        for x in cuts:
-            if not self.memory.edged.isdisjoint(x) or blank_edged(x[0]):
-                x[:] = joined_blanks(x)
-                self._learn(set(x[1:]))
-        # A text's first word has no blank before it.
-        firsts = [x[0] for x in cuts if x[0]]
-        starts = iter(self.each(firsts) if firsts else ())
-        ids = self.memory.__getitem__
-        return [x if isinstance(x, bytes) else (next(starts) if x[0] else b"") + b"".join(map(ids, x[1:])) for x in group]
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.memory))
-        if new:
-            self.memory.keep_all(new, self.each([" " + x for x in new]))
+        if not self.plain:
+            return self.whole(text) if text else b""
+        return self.words.encode(text)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) in a row, and where each text's end."""
+        if self.plain:
+            return self.words.encode_array(texts)
+        parts = [np.frombuffer(self.encode(x.as_py()), dtype="<u4") for x in texts]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *parts]), np.cumsum([len(x) for x in parts], dtype=np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -200,14 +196,15 @@ def write_token_files(docs: DataFrame, folder: str, order: list[Column], shards:
     """Encode ``docs`` and write their ids in ``order`` to shards in ``folder``; return the index.
 
     The index has the id, ``shard``, ``file``, ``shard_start`` and ``n_tokens``
-    (the end id included).  Texts are dealt by ranges of ``order``; each shard
+    (the end id included).  Texts are dealt by ranges of ``order`` (a sample of
+    which comes to the driver; within it, ties go by text); each shard
     is encoded and written in one function, ``BATCH_BYTES`` of text at a time,
     so ids never leave the worker.  A shard that is written again after a lost
     executor gets a new file name, and only names in the index count.
     """
     path = vocabulary or default_vocabulary()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("shard_start", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,10 +216,11 @@ def write_token_files(docs: DataFrame, folder: str, order: list[Column], shards:
             for batch in bounded(whole, 1):
                 writer = writer or ShardWriter(uri, length, rows, max(coder.highest, end_id))
                 starts, counts = [], []
-                for ids in coder.encode_all(x.as_py() for x in batch.column(1)):
-                    starts.append(writer.add(np.frombuffer(ids, dtype="<u4")))
+                flat, ends = coder.encode_array(batch.column(1))
+                for ids in np.split(flat, ends[:-1]):
+                    starts.append(writer.add(ids))
                     writer.add(end)
-                    counts.append(len(ids) // 4 + 1)
+                    counts.append(len(ids) + 1)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([uri] * n), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
         if writer:
@@ -284,5 +282,5 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
     folder = new_path(spark, "token-files")
     keyed = slim.withColumn("text_hash", F.xxhash64("text"))
-    index = write_token_files(keyed, folder, [F.col("id").asc(), F.col("text_hash").asc(), F.col("text").asc()], shards, "id", vocabulary=vocabulary)
+    index = write_token_files(keyed, folder, [F.col("id").asc(), F.col("text_hash").asc()], shards, "id", vocabulary=vocabulary)
     return folder, with_starts(index).withColumnRenamed("id", id_col)
