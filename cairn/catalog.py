@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import kv, liveness, replica, ring
+from .folders import new_path, written
+from .operators import kv, liveness, peers, replica, ring, store
+from .streaming import stateful
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -63,6 +65,11 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the pattern is what Spark takes for a table of one file."""
+    return s.readStream.schema(_table(s, d, name).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parquet*")
+
+
 def command_log(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "view", "get").when(kind == "error", "del").otherwise("set")
@@ -81,7 +88,7 @@ def _picked(s: SparkSession) -> DataFrame:
 
 
 def _middle(s: SparkSession, d: str) -> int:
-    return command_log(s, d).agg(F.max("txn_id")).first()[0] // 2
+    return (command_log(s, d).agg(F.max("txn_id")).first()[0] or 0) // 2
 
 
 @_query("SELECT key, value, version FROM cur")
@@ -189,7 +196,7 @@ def _state(rows):
 
 def _replicas(s, d):
     rows = _sets(s, d)
-    cut = rows.agg(F.max("version")).first()[0] * 7 // 10
+    cut = (rows.agg(F.max("version")).first()[0] or 0) * 7 // 10
     return _state(rows.where(F.col("version") <= cut)), _state(rows)
 
 
@@ -243,14 +250,112 @@ def apply_delta_lww(s, d):
     return replica.apply_delta(a, replica.stale(b, replica.digest(a)))
 
 
+_RUN = """SELECT s.*, 2 + sum(strlen(key) + coalesce(strlen(value), 0) + 12 + CASE WHEN k = 1 THEN strlen(node) + 11 ELSE 0 END) OVER (ORDER BY n DESC, node, version) AS bytes
+  FROM (SELECT *, count(*) OVER (PARTITION BY node) AS n, row_number() OVER (PARTITION BY node ORDER BY version) AS k FROM {stale}) s"""
+
+
+_SENT = f"""SELECT node, count(*) FILTER (bytes <= {{0}})::BIGINT AS n FROM ({_RUN.format(stale="stale")})
+  GROUP BY node HAVING min(bytes) - arg_min(strlen(key) + strlen(value) + 12, k) <= {{0}}"""
+
+
+@_query(_SENT.format(600))
+def delta_nodes_budgeted(s, d):
+    """Nodes of the message, with the rows each has in it."""
+    return replica.delta(_stale(s, d), 600).nodes
+
+
+@_query(_SENT.format(15))
+def delta_header_only(s, d):
+    """A budget of just the first node's header: a node without rows."""
+    return replica.delta(_stale(s, d), 15).nodes
+
+
+def _two_sided(s, d):
+    """Replica A with the writes of even keys, B with those of odd ones, both with A's first part."""
+    rows = _sets(s, d)
+    a, _ = _replicas(s, d)
+    odd = F.expr("cast(substring(key, 3) as long) % 2")
+    return _state(a.unionByName(rows.where((odd == 0) & (F.col("node") < "n4")))), _state(a.unionByName(rows.where((odd == 1) & (F.col("node") >= "n4"))))
+
+
+_SIDES = """, ea AS (SELECT node, key, value, version FROM (SELECT *, row_number() OVER (PARTITION BY node, key ORDER BY version DESC) AS r FROM (SELECT * FROM a UNION SELECT * FROM st WHERE user_id_of(key) % 2 = 0 AND node < 'n4')) WHERE r = 1),
+eb AS (SELECT node, key, value, version FROM (SELECT *, row_number() OVER (PARTITION BY node, key ORDER BY version DESC) AS r FROM (SELECT * FROM a UNION SELECT * FROM st WHERE user_id_of(key) % 2 = 1 AND node >= 'n4')) WHERE r = 1),
+da AS (SELECT node, max(version) AS m FROM ea WHERE node <> 'n6' GROUP BY node), db AS (SELECT node, max(version) AS m FROM eb WHERE node <> 'n1' GROUP BY node),
+sb AS (SELECT eb.* FROM eb LEFT JOIN da USING (node) WHERE node <> 'n1' AND version > coalesce(m, 0)),
+ra AS ({ra}),
+fa AS (SELECT node, key, CASE WHEN r.version > e.version OR e.version IS NULL THEN r.value ELSE e.value END AS value, greatest(coalesce(e.version, 0), coalesce(r.version, 0)) AS version
+  FROM ea e FULL JOIN (SELECT node, key, value, version FROM ra WHERE bytes <= 1500 - (SELECT 5 + sum(strlen(node) + 17) FROM db)) r USING (node, key)),
+sa AS (SELECT fa.* FROM fa LEFT JOIN db USING (node) WHERE node <> 'n6' AND version > coalesce(m, 0)),
+rb AS ({rb}),
+fb AS (SELECT node, key, CASE WHEN r.version > e.version OR e.version IS NULL THEN r.value ELSE e.value END AS value, greatest(coalesce(e.version, 0), coalesce(r.version, 0)) AS version
+  FROM eb e FULL JOIN (SELECT node, key, value, version FROM rb WHERE bytes <= 1499) r USING (node, key))
+""".format(ra=_RUN.format(stale="sb"), rb=_RUN.format(stale="sa")).replace("user_id_of(key)", "substr(key, 3)::BIGINT")
+
+
+@_query(_SIDES + "SELECT 'a' AS side, * FROM fa UNION ALL SELECT 'b', * FROM fb")
+def reconcile_two_way(s, d):
+    """Syn, SynAck and Ack in 1,500 bytes each; a holds n6 dead, b n1."""
+    a, b = (written(x, "side") for x in _two_sided(s, d))
+    dead = lambda n: s.sql(f"SELECT '{n}' AS node")
+    done = replica.exchange(a, b, 1500, dead_a=dead("n6"), dead_b=dead("n1"))
+    side = lambda x, n: x.where("key is not null").select(F.lit(n).alias("side"), *replica.COLUMNS)
+    return side(done.a, "a").unionByName(side(done.b, "b"))
+
+
+@_query("SELECT node, key, value, version FROM a")
+def reconcile_bad_cluster(s, d):
+    """Another cluster's Syn changes nothing."""
+    a, b = _replicas(s, d)
+    return replica.exchange(a, b, clusters=("one", "other")).a
+
+
+@_query("SELECT 'default-cluster' AS cluster_id, node, max(version) AS max_version FROM b WHERE node <> 'n3' GROUP BY node")
+def syn_message(s, d):
+    return replica.syn(_replicas(s, d)[1], "default-cluster", s.sql("SELECT 'n3' AS node"))
+
+
+@_query("SELECT node, count(*) AS stale, row_number() OVER (ORDER BY count(*) DESC, md5('7' || node), node)::INTEGER AS place FROM stale GROUP BY node")
+def stale_node_ranking_seeded(s, d):
+    return replica.rank_stale(_stale(s, d), seed=7)
+
+
+@_query("SELECT value, version FROM b WHERE node = 'n3' AND key = 'u:3'")
+def node_state_get(s, d):
+    return replica.get(_replicas(s, d)[1], "n3", "u:3")
+
+
+@_query("""SELECT node, key, value, version FROM a WHERE node <> 'n2' UNION ALL SELECT 'n9', NULL, NULL, 0""")
+def node_state_create_remove(s, d):
+    """A node known by name alone comes, another goes."""
+    a, _ = _replicas(s, d)
+    return replica.remove_nodes(replica.with_nodes(a, s.sql("SELECT 'n9' AS node UNION SELECT 'n1'")), s.sql("SELECT 'n2' AS node"))
+
+
+@_query("""SELECT node, key, arg_max(value, version) AS value, max(version) AS version FROM (
+  SELECT node, key, value, row_number() OVER (PARTITION BY node ORDER BY ord) AS version FROM (
+    SELECT DISTINCT 'c' || c_nationkey AS node, -1 AS ord, 'heartbeat' AS key, '0' AS value FROM customer
+    UNION ALL SELECT 'c' || c_nationkey, c_custkey, c_mktsegment, c_name FROM customer)) GROUP BY node, key""")
+def node_initial_states(s, d):
+    c = _table(s, d, "customer")
+    return replica.initial_states(c.select(F.concat(F.lit("c"), "c_nationkey").alias("node"), F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("key"), F.col("c_name").alias("value")))
+
+
+@_query("""SELECT node, key, value, version FROM a UNION ALL
+  SELECT node, 'heartbeat', n::VARCHAR, (coalesce(m, 0) + n)::BIGINT FROM (SELECT 'n' || (user_id % 7) AS node, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) t LEFT JOIN (SELECT node, max(version) AS m FROM a GROUP BY node) USING (node)""")
+def node_heartbeats(s, d):
+    ticks = _table(s, d, "events").where("event_type = 'click'").select(F.concat(F.lit("n"), F.col("user_id") % 7).alias("node"), F.lit(1).alias("beats"))
+    return replica.beat(_replicas(s, d)[0], ticks)
+
+
 @_query("SELECT node, key, value, version FROM b")
 def reconcile_round(s, d):
     return replica.reconcile(*_replicas(s, d))
 
 
-@_query()
+@_query("SELECT node, key, value, version FROM b")
 def cluster_snapshot_nested(s, d):
-    return replica.nested(_replicas(s, d)[1])
+    """The nested export, taken apart again: SQL has no maps to compare."""
+    return replica.flattened(replica.nested(_replicas(s, d)[1]))
 
 
 @_query("SELECT (5 + sum(strlen(node) + 17))::BIGINT AS bytes FROM fl")
@@ -303,6 +408,72 @@ def grace_gc(s, d):
     return liveness.collect_garbage(dead, beats.agg(F.max("t").alias("now")), CONF).select("node", "removed")
 
 
+_EPOCHS = """WITH RECURSIVE beats AS (SELECT user_id AS node, epoch_us(ts) / 1e6 AS t FROM events),
+tk AS (SELECT first + 43200.0 * unnest(range(0, 1 + floor((final - first) / 43200.0)::BIGINT)) AS t FROM (SELECT floor(min(t)) AS first, max(t) AS final FROM beats)),
+ev AS (SELECT node, t, 0 AS kind FROM beats UNION ALL SELECT node, tk.t, 1 FROM (SELECT DISTINCT node FROM beats) n, tk),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t, kind) AS i FROM ev),
+run AS (
+  SELECT DISTINCT node, 0::BIGINT AS i, NULL::DOUBLE AS tick, []::DOUBLE[] AS smp, NULL::DOUBLE AS last, 'unknown' AS status, NULL::DOUBLE AS dead_at, 0 AS epoch, NULL::DOUBLE AS phi, FALSE AS changed FROM beats
+  UNION ALL
+  SELECT node, i + 1, t,
+    CASE WHEN kind = 1 THEN CASE WHEN ph > 3 THEN []::DOUBLE[] ELSE smp END WHEN last IS NULL THEN smp
+      ELSE list_append(smp, CASE WHEN t - last <= 43200 THEN t - last ELSE 21600 END)[-10:] END,
+    CASE WHEN kind = 0 THEN t WHEN ph > 3 THEN NULL ELSE last END,
+    CASE WHEN kind = 0 THEN status WHEN ph > 3 THEN 'dead' WHEN ph IS NOT NULL THEN 'live' WHEN status = 'dead' AND t - dead_at >= 86400 THEN 'removed' ELSE status END,
+    CASE WHEN kind = 0 THEN dead_at WHEN ph > 3 THEN t WHEN ph IS NOT NULL THEN NULL ELSE dead_at END,
+    epoch + CASE WHEN kind = 1 AND ph > 3 THEN 1 ELSE 0 END,
+    ph, kind = 1 AND (ph > 3 OR (ph IS NOT NULL AND status <> 'live') OR (ph IS NULL AND status = 'dead' AND t - dead_at >= 86400)) IS TRUE
+  FROM (SELECT r.node, r.i, r.smp, r.last, r.status, r.dead_at, r.epoch, o.t, o.kind, CASE WHEN o.kind = 1 AND len(r.smp) > 0 THEN (o.t - r.last) / list_avg(r.smp) END AS ph
+    FROM run r JOIN o ON o.node = r.node AND o.i = r.i + 1)
+), changes AS (SELECT node, tick, status, phi, (epoch - CASE WHEN status = 'dead' THEN 1 ELSE 0 END)::INTEGER AS epoch FROM run WHERE changed)
+"""
+
+
+def _plain(sql: str):
+    """As ``_query``, for SQL with its own common tables."""
+
+    def add(f: Q) -> Q:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _schedule(beats):
+    first, final = beats.agg(F.floor(F.min("t")).cast("double"), F.max("t")).first()
+    return liveness.Schedule(first or 0.0, 43_200.0, final or 0.0)
+
+
+@_plain(_EPOCHS + "SELECT node, tick, status, round(phi, 6) AS phi, epoch FROM changes")
+def liveness_epochs(s, d):
+    """Deaths found at ticks restart windows: every change of status, with the epoch it belongs to."""
+    beats = _beats(s, d)
+    return liveness.transitions(beats, _schedule(beats), CONF).select("node", "tick", "status", F.round("phi", 6).alias("phi"), "epoch")
+
+
+def _membership(s, d):
+    beats = _beats(s, d)
+    states = _table(s, d, "events").select(F.col("user_id").alias("node"), F.col("event_type").alias("key"), F.col("props").alias("value"), (F.col("event_id") + 1).alias("version"))
+    return liveness.update_nodes(_state(states), beats, _schedule(beats), CONF, 3, "key = 'signup' AND version % 4 <> 0")
+
+
+@_plain(_EPOCHS + """, moved AS (SELECT *, lag(status, 1, 'unknown') OVER (PARTITION BY node ORDER BY tick, status = 'removed') AS was FROM changes WHERE node <> 3),
+st AS (SELECT user_id AS node, event_type AS key, max(event_id + 1) AS version FROM events GROUP BY ALL)
+SELECT tick, node, CASE WHEN status = 'live' THEN 'joined' ELSE 'left' END AS change FROM moved
+WHERE (was = 'live') <> (status = 'live') AND node IN (SELECT node FROM st WHERE key = 'signup' AND version % 4 <> 0)""")
+def update_nodes_ready(s, d):
+    """The feed of the ready set: who joined and left at which tick."""
+    return _membership(s, d).ready
+
+
+@_plain(_EPOCHS + """, final AS (SELECT node, arg_max(status, (tick, status = 'removed')) AS status FROM changes WHERE node <> 3 GROUP BY node)
+SELECT user_id AS node, event_type AS key, arg_max(props, event_id) AS value, max(event_id + 1) AS version FROM events
+WHERE user_id NOT IN (SELECT node FROM final WHERE status = 'removed') GROUP BY ALL""")
+def update_nodes(s, d):
+    """States after liveness updates at every tick, without removed nodes."""
+    return _membership(s, d).states
+
+
 @_query("SELECT node FROM cl WHERE status = 'live' AND node IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 50)")
 def ready_nodes(s, d):
     states = _table(s, d, "events").select(F.col("user_id").alias("node"), "event_type", "value")
@@ -317,6 +488,34 @@ def ready_change_feed(s, d):
     return liveness.change_feed(_table(s, d, "events").select(F.expr("event_id div 20").alias("tick"), node.alias("node")))
 
 
+@_query("SELECT node, key, value, version FROM b")
+def stream_lww_equals_batch(s, d):
+    """The writes as a stream: state is the last of each node and key."""
+    e = _stream(s, d, "events")
+    rows = e.select(F.concat(F.lit("n"), F.col("user_id") % 7).alias("node"), F.concat(F.lit("u:"), "user_id").alias("key"), F.col("props").alias("value"), (F.col("event_id") + 1).alias("version"))
+    return stateful.to_table(stateful.lww(rows), new_path(s, "stream"), new_path(s, "stream-checkpoint"), "complete")
+
+
+@_query("SELECT node, round(t, 6) AS t, round(sample, 6) AS sample, round(mean, 4) AS mean FROM rm")
+def stream_rolling_mean(s, d):
+    """The beats as a stream: each node's window is state."""
+    e = _stream(s, d, "events")
+    beats = e.select(F.col("user_id").alias("node"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+    out = stateful.to_table(stateful.rolling_mean(beats, CONF), new_path(s, "stream"), new_path(s, "stream-checkpoint"))
+    return out.select("node", F.round("t", 6).alias("t"), F.round("sample", 6).alias("sample"), F.round("mean", 4).alias("mean"))
+
+
+@_query("""SELECT key, value FROM (VALUES ('a', '3'), ('c', ''), ('d', 'x')) t(key, value)""")
+def store_commit_protocol(s, d):
+    """A store through commits, a rollback and an open transaction: what a reader then sees."""
+    db = store.Store(s, new_path(s, "store"))
+    db.set([("a", "1"), ("b", "2"), ("a", "3"), ("c", "")])
+    with db.write() as lost:
+        lost.set("a", "lost").delete("c")
+    db.set([("d", "x"), ("b", None)])
+    return db.read().state().select("key", F.col("value").cast("string").alias("value"))
+
+
 def _nodes(s, d):
     k = F.col("n_nationkey")
     return _table(s, d, "nation").select(F.concat(F.lit("n"), k).alias("node"), (k % 4 + 1).alias("n_replicas"), (k % 3 != 0).alias("valid"))
@@ -336,6 +535,29 @@ def ring_lookup(s, d):
     return ring.lookup(_keys(s, d), ring.build(_nodes(s, d)))
 
 
+@_query("SELECT c_custkey, key, CASE WHEN valid THEN node END AS node FROM own JOIN vn USING (i)")
+def ring_lookup_valid(s, d):
+    """A key whose owner is not valid has no node."""
+    nodes = _nodes(s, d)
+    return ring.lookup(_keys(s, d), ring.build(nodes), nodes.where("valid"))
+
+
+@_query("""SELECT c.c_custkey, c.c_name AS key, coalesce(x.node, (SELECT arg_min(node, pos) FROM sv)) AS node
+  FROM (SELECT *, sha256(c_name) AS h FROM customer) c ASOF LEFT JOIN sv x ON c.h <= x.pos""".replace("sv", "(SELECT node, sha256(node || '-' || replica) AS pos FROM vn)"))
+def ring_lookup_sha256(s, d):
+    """The same ring with another hash."""
+    return ring.lookup(_keys(s, d), ring.build(_nodes(s, d), ring.sha256), hash_=ring.sha256)
+
+
+@_query("""SELECT node, count(*) AS vnodes FROM (SELECT node, unnest(range(n_replicas)) AS r FROM (
+  SELECT node, n_replicas FROM rn WHERE node NOT IN ('n5', 'n7', 'n8') UNION ALL SELECT * FROM (VALUES ('n7', 9), ('extra', 2)) t(node, n_replicas))) GROUP BY node""")
+def ring_add_remove(s, d):
+    """A node goes, one comes and one is replaced with more replicas."""
+    new = s.sql("SELECT * FROM VALUES ('n7', 9L, true), ('extra', 2L, true) t(node, n_replicas, valid)")
+    nodes = ring.add(ring.remove(_nodes(s, d), s.sql("SELECT 'n5' AS node UNION SELECT 'n8'")), new)
+    return ring.build(nodes).groupBy("node").agg(F.count("*").alias("vnodes"))
+
+
 @_query("""SELECT own.c_custkey, own.key, (SELECT arg_min(v.node, k) FROM range(3) t(k) JOIN vn v ON v.i = (own.i + k) % (SELECT count(*) FROM vn) WHERE v.valid) AS node FROM own""")
 def ring_lookup_tolerance(s, d):
     nodes = _nodes(s, d)
@@ -360,10 +582,29 @@ def ring_rebalance_moves(s, d):
 _PEERS = "SELECT s_name AS addr, md5('7' || s_name) AS h FROM supplier WHERE s_suppkey % 4 <> 0"
 
 
+def _round(s, d, live: str = "s_suppkey % 4 <> 0", dead: str = "s_suppkey % 4 = 0"):
+    addr = lambda where: _table(s, d, "supplier").where(where).select(F.col("s_name").alias("addr"))
+    return peers.select(addr("true"), addr(live), addr(dead), _table(s, d, "region").select(F.col("r_name").alias("addr")), 7)
+
+
 @_query(f"SELECT addr FROM ({_PEERS}) ORDER BY h, addr LIMIT 3")
 def peers_select(s, d):
-    live = _table(s, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_name").alias("addr"))
-    return live.orderBy(F.md5(F.concat(F.lit("7"), "addr").cast("binary")), "addr").limit(3)  # the feature: three peers a round
+    return _round(s, d).chosen
+
+
+@_query("SELECT addr FROM (SELECT s_name AS addr FROM supplier) ORDER BY md5('7' || addr), addr LIMIT 3")
+def peers_select_fallback(s, d):
+    """While no peer is live, all are candidates."""
+    return _round(s, d, live="false").chosen
+
+
+@_query("""SELECT * FROM (SELECT 'dead' AS kind, s_name AS addr FROM supplier WHERE s_suppkey % 4 <> 0 ORDER BY md5('7dead' || s_name), s_name LIMIT 1)
+  UNION ALL SELECT * FROM (SELECT 'seed' AS kind, r_name FROM region ORDER BY md5('7seed' || r_name), r_name LIMIT 1)""")
+def peers_dead_and_seed(s, d):
+    """With most peers dead the chance is one or more, so a dead one and a seed are talked to."""
+    got = _round(s, d, live="s_suppkey % 4 = 0", dead="s_suppkey % 4 <> 0")
+    kind = lambda x, n: x.select(F.lit(n).alias("kind"), "addr")
+    return kind(got.dead, "dead").unionByName(kind(got.seed, "seed"))
 
 
 @_query("""SELECT count(*) FILTER (s_suppkey % 4 = 0) / (count(*) FILTER (s_suppkey % 4 <> 0) + 1) AS p_dead,
@@ -376,5 +617,4 @@ def peer_probability(s, d):
 
 @_query("SELECT r_name AS addr FROM region UNION SELECT n_name FROM nation WHERE n_name <> ''")
 def seed_union(s, d):
-    literal, found = _table(s, d, "region").select(F.col("r_name").alias("addr")), _table(s, d, "nation").select(F.col("n_name").alias("addr"))
-    return literal.union(found).where("addr <> ''").distinct()
+    return peers.seeds(_table(s, d, "region").select(F.col("r_name").alias("addr")), _table(s, d, "nation").select(F.col("n_name").alias("addr")))

@@ -83,6 +83,20 @@ def parse_pairs(raw: DataFrame) -> DataFrame:
     return raw.select("raw", F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(1)).alias("value"))
 
 
+def require_pairs(raw: DataFrame) -> DataFrame:
+    """``parse_pairs``, where a row without ``=`` fails the query with the text at fault."""
+    bad = F.raise_error(F.concat(F.lit("no '=' in pair: "), F.col("raw"))).cast("string")
+    return parse_pairs(raw).select("raw", "key", F.when(F.col("value").isNull() & F.col("raw").isNotNull(), bad).otherwise(F.col("value")).alias("value"))
+
+
+def parse_pair(text: str) -> tuple[str, str]:
+    """One ``k=v`` as ``parse_pairs`` reads it."""
+    key, *rest = text.split("=")
+    if not rest:
+        raise ValueError(f"no '=' in pair: {text}")
+    return key, rest[0]
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Keys that differ: (key, before, after, change)."""
     b, a = before.select("key", F.col("value").alias("before")), after.select("key", F.col("value").alias("after"))

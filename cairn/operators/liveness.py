@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .replica import remove_nodes
+
+#: Ticks whose sets are compared together.
+TICKS = 1 << 12
+
 
 @dataclass(frozen=True)
 class LivenessConfig:
@@ -71,7 +82,167 @@ def ready(live: DataFrame, states: DataFrame, predicate: str) -> DataFrame:
 
 
 def change_feed(ticks: DataFrame) -> DataFrame:
-    """(tick, nodes): the sorted set of each tick (null nodes: empty) where it differs from the tick before."""
+    """(tick, nodes): the sorted set of each tick (null nodes: empty) where it differs from the tick before.
+
+    Ticks are whole numbers.  They are compared within ranges of ``TICKS``;
+    the first of a range meets the last of the range before it, one row each.
+    """
     sets = ticks.groupBy("tick").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("nodes"))
-    before = F.lag("nodes").over(Window.orderBy("tick"))
-    return sets.withColumn("before", before).where(~F.col("nodes").eqNullSafe(F.col("before"))).select("tick", "nodes")
+    sets = sets.withColumn("range", F.floor(F.col("tick") / TICKS))
+    last = sets.groupBy("range").agg(F.max_by("nodes", "tick").alias("nodes"))
+    last = last.select(F.col("range").alias("of"), F.lag("nodes").over(Window.orderBy("range")).alias("earlier"))
+    own = F.lag("nodes").over(Window.partitionBy("range").orderBy("tick"))
+    met = sets.withColumn("own", own).join(last, F.col("range") == F.col("of"))
+    before = F.coalesce("own", "earlier")
+    return met.where(~F.col("nodes").eqNullSafe(before)).select("tick", "nodes")
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """Evaluation times start, start + every, ... up to ``until`` (seconds)."""
+
+    start: float
+    every: float
+    until: float
+
+    def __post_init__(self) -> None:
+        if self.every <= 0:
+            raise ValueError("ticks are some time apart")
+
+    def at(self, k: int) -> float:
+        return self.start + k * self.every
+
+    def first(self, t: float) -> int:
+        """Number of the first tick at ``t`` or later."""
+        k = max(0, math.ceil((t - self.start) / self.every))
+        while k > 0 and self.at(k - 1) >= t:
+            k -= 1
+        while self.at(k) < t:
+            k += 1
+        return k
+
+
+class Node:
+    """One node's window of samples, and what evaluations have made of it."""
+
+    def __init__(self, conf: LivenessConfig):
+        self.conf, self.samples, self.total = conf, deque(), 0.0
+        self.last: float | None = None
+        self.status, self.dead_at, self.epoch = "unknown", None, 0
+
+    @property
+    def mean(self) -> float | None:
+        return self.total / len(self.samples) if self.samples else None
+
+    def beat(self, t: float) -> float | None:
+        """The sample that a heartbeat adds; the first of an epoch adds none."""
+        sample = None
+        if self.last is not None:
+            gap = t - self.last
+            sample = gap if gap <= self.conf.max_interval else self.conf.initial_interval
+            if len(self.samples) == self.conf.window:
+                self.total -= self.samples.popleft()
+            self.samples.append(sample)
+            self.total += sample
+        self.last = t
+        return sample
+
+    def phi(self, now: float) -> float | None:
+        """None without a sample, or where all samples are 0."""
+        return (now - self.last) / self.mean if self.mean else None
+
+    def until(self, schedule: Schedule, end: float) -> Iterator[tuple[float, str, float | None, int]]:
+        """(tick, status, phi, epoch) of what changes at ticks from the last beat on, before ``end``.
+
+        Between beats phi only grows, so the tick of a death is found without
+        visiting those before it.
+        """
+        at, threshold = schedule.at, self.conf.threshold
+        k = schedule.first(self.last if self.last is not None else schedule.start)
+        if self.mean and at(k) < end:
+            now = self.phi(at(k))
+            if now <= threshold:
+                if self.status != "live":
+                    self.status, self.dead_at = "live", None
+                    yield at(k), "live", now, self.epoch
+                k = max(k, schedule.first(self.last + threshold * self.mean) - 1)
+                while at(k) < end and self.phi(at(k)) <= threshold:
+                    k += 1
+            if at(k) < end:
+                now = self.phi(at(k))
+                # The window starts anew with the next beat.
+                self.status, self.dead_at, self.last, self.total = "dead", at(k), None, 0.0
+                self.samples.clear()
+                yield at(k), "dead", now, self.epoch
+                self.epoch += 1
+        if self.status == "dead":
+            j = max(k, schedule.first(self.dead_at + self.conf.grace) - 1)
+            while at(j) - self.dead_at < self.conf.grace:
+                j += 1
+            if at(j) < end:
+                self.status, self.dead_at = "removed", None
+                yield at(j), "removed", None, self.epoch
+
+
+def transitions(beats: DataFrame, schedule: Schedule, conf: LivenessConfig) -> DataFrame:
+    """(node, tick, status, phi, epoch): every change that evaluations at the ticks make of a node.
+
+    Live up to the threshold, dead over it: the window is dropped and a new
+    epoch begins, in which a node stays dead until it has a sample again;
+    removed when dead for the grace period.  A beat at a tick comes before it.
+    Each death depends on those before it, so a node's beats are read in order,
+    as a stream with one window in memory.  Null nodes and times are not read.
+    """
+    kind = beats.schema["node"].dataType
+    rows = beats.where("node is not null and t is not null").select("node", F.col("t").cast("double"))
+    rows = rows.repartition("node").sortWithinPartitions("node", "t")
+    schema = T.StructType([T.StructField("node", kind), *(T.StructField(n, t) for n, t in (("tick", T.DoubleType()), ("status", T.StringType()), ("phi", T.DoubleType()), ("epoch", T.IntegerType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, node = None, None
+        past = math.nextafter(schedule.until, math.inf)
+        for batch in batches:
+            out: list[tuple] = []
+            for who, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if who != name:
+                    if node is not None:
+                        out += [(name, *x) for x in node.until(schedule, past)]
+                    name, node = who, Node(conf)
+                elif node is not None:
+                    out += [(name, *x) for x in node.until(schedule, min(t, past))]
+                node.beat(t)
+            yield pack(out, batch.schema)
+        if node is not None:
+            yield pack([(name, *x) for x in node.until(schedule, past)], batch.schema)
+
+    def pack(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+        kinds = (like.field(0).type, pa.float64(), pa.string(), pa.float64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+class Membership(NamedTuple):
+    """What evaluations leave: changes of nodes, changes of the ready set, and states without removed nodes."""
+
+    changes: DataFrame
+    ready: DataFrame
+    states: DataFrame
+
+
+def update_nodes(states: DataFrame, beats: DataFrame, schedule: Schedule, conf: LivenessConfig, self_node: object, predicate: str | None = None) -> Membership:
+    """Liveness of all nodes but oneself, the ready set's feed and the removal of long-dead nodes.
+
+    ``ready`` has (tick, node, change): a node whose state has a row for which
+    ``predicate`` holds (any live node, without one) comes with ``joined`` and
+    goes with ``left``.  A node is removed that no later tick finds live.
+    """
+    changes = transitions(beats.where(F.col("node") != F.lit(self_node)), schedule, conf)
+    order = Window.partitionBy("node").orderBy("tick", F.when(F.col("status") == "removed", 1).otherwise(0))
+    was = F.coalesce(F.lag("status").over(order), F.lit("unknown"))
+    moved = changes.withColumn("was", was).where((F.col("was") == "live") != (F.col("status") == "live"))
+    if predicate is not None:
+        moved = moved.join(states.where(predicate).select("node").distinct(), "node", "left_semi")
+    feed = moved.select("tick", "node", F.when(F.col("status") == "live", "joined").otherwise("left").alias("change"))
+    last = changes.groupBy("node").agg(F.max_by("status", F.struct("tick", F.when(F.col("status") == "removed", 1).otherwise(0))).alias("status"))
+    return Membership(changes, feed, remove_nodes(states, last.where("status = 'removed'")))

@@ -1 +1 @@
-
+"""Where streams and tables of the engine come from."""
