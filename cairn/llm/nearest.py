@@ -40,7 +40,7 @@ from .common import staged
 
 SEED, COLUMNS = 7, 16
 #: Chance that a test abandons a vector that lies at the limit, and the share of expected hits that unprobed lists may hold.
-ALPHA, MISSED = 0.005, 0.06
+ALPHA, MISSED = 0.02, 0.06
 #: The centroids' sample, in vectors, and the most lists (longer lists beyond it).
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Vectors, and queries of them, in one task.
