@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..folders import delete, new_path  # noqa: F401  (operators take new_path from here)
+from ..folders import written as staged
+
 #: A word is a run of anything but these six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text, about, whose results a task holds at a time.
@@ -37,64 +37,10 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(-1))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir``.
-
-    Only where a session on one machine (a local master, as in tests) has none
-    is a local one set; elsewhere that is an error, since executors do not
-    share a local folder.
-    """
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not there:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        there = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-#: Paths made for each application, for ``sweep``.
-_MADE: dict[str, list[str]] = {}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    path = f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete what operators of this application left in the shared folder.
-
-    Their results are read from there until they are written elsewhere, so
-    this is for the caller, once that is done.
-    """
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs a reread, not the work before it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a ``staged`` table that nothing will read again."""
     for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        _delete(df.sparkSession, name)
+        delete(df.sparkSession, name)
 
 
 def bounded(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

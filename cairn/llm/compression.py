@@ -17,17 +17,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import annotate
 
-DICTIONARY_BYTES, LEVEL = 112_640, 6
+DICTIONARY_BYTES, LEVEL = 112_640, 3
+#: The dictionary builder's segments and the substrings it scores them by, in bytes: about a few words, and half a word.
+SEGMENT, SUBSTRING = 64, 6
 
 
 def _dictionary(texts: Sequence[bytes]) -> bytes:
     """Trained on the texts in pieces of 4 KB; too little to train on: the texts themselves."""
     pieces = [t[i : i + 4096] for t in texts for i in range(0, len(t), 4096)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=SEGMENT, d=SUBSTRING).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
@@ -72,11 +75,14 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1])
 
 
-def fit(rows: Sequence[tuple[str | None, int]]) -> Classifier:
+def fit(rows: Sequence[tuple[str | None, int]], totals: tuple[int, int] | None = None) -> Classifier:
     """From (text, label) in a fixed order: alternate rows of a class build its dictionary and fit the curve.
 
-    Without rows of both classes the score is the same for every text: the
-    smoothed share of label 1.
+    ``totals`` has the numbers of labels 0 and 1 of which ``rows`` are a
+    sample; the curve's base is moved by the logarithm of what the sample
+    changed in their ratio, so scores keep to the labels' share.  Without rows
+    of both classes the score is the same for every text: the smoothed share
+    of label 1.
     """
     build: dict[int, list[bytes]] = {0: [], 1: []}
     held: list[tuple[str | None, int]] = []
@@ -87,34 +93,47 @@ def fit(rows: Sequence[tuple[str | None, int]]) -> Classifier:
             build[label].append((text or "").encode("utf-8", "surrogatepass"))
         else:
             held.append((text, label))
-    share = math.log((seen[1] + 1) / (seen[0] + 1))
+    of = totals or tuple(seen)
+    share = math.log((of[1] + 1) / (of[0] + 1))
     good, bad = _dictionary(build[1]), _dictionary(build[0])
-    if len({label for _, label in held}) < 2:
+    n = [sum(label == c for _, label in held) for c in (0, 1)]
+    if not all(n):
         return Classifier(good, bad, 0.0, share)
     feature = Classifier(good, bad, 0.0, 0.0).scorer()
     x, y = np.array([feature(t) for t, _ in held]), np.array([label for _, label in held])
-    return Classifier(good, bad, *_curve(x, y))
+    slope, base = _curve(x, y)
+    return Classifier(good, bad, slope, base + math.log(max(of[1], 1) / max(of[0], 1) * n[0] / n[1]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_each: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str | None, int]]:
-    """Up to ``rows_each`` labelled texts of each class, those of the least id hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_each: int, bytes_each: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str | None, int]], tuple[int, int]]:
+    """Labelled texts, and the numbers of all ids with label 0 and label 1.
 
-    Ids with both labels count for neither.  The chosen ids (a bounded set)
-    are broadcast to one scan of the documents.
+    Of each class, those of the least id hash: up to ``rows_each`` ids, as far
+    as their texts hold ``bytes_each`` bytes together.  Ids with both labels,
+    null ids and ids without a document count for neither.  An id on several
+    rows counts once, with its least text.  The chosen ids (a bounded set) are
+    broadcast to one scan of the documents.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
-    known = known.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most")
+    known = known.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("most")).where("label = most").select("id", "label")
+    counted = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("id")
-    some = [known.where(F.col("label") == c).select("id", F.col("label").cast("int").alias("label")).orderBy(order, "id").limit(rows_each) for c in (0, 1)]
-    slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    some = [known.where(F.col("label") == c).orderBy(order, "id").limit(rows_each) for c in (0, 1)]
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = slim.join(F.broadcast(some[0].union(some[1])), F.col("doc") == F.col("id"))
-    rows = found.select("id", "text", "label").collect()
+    one = found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("label").orderBy(order, "id"))
+    rows = one.withColumn("upto", upto).where(F.col("upto") <= bytes_each).select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return [(r["text"], r["label"]) for r in rows]
+    return [(r["text"], r["label"]) for r in rows], (counted.get(0, 0), counted.get(1, 0))
 
 
 def score_quality(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append ``size_difference`` and ``score`` (0 to 1) of every whole text; null counts as empty."""
+    """Append ``size_difference`` and ``score`` (0 to 1) of every whole text; null counts as empty.
+
+    Equal texts have equal scores; every row keeps its place, and same-named
+    columns are replaced.
+    """
     fields = [T.StructField("size_difference", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
     def make():

@@ -4,7 +4,8 @@ Every letter has a random vector of +1 and -1, drawn from its code point.  An
 n-gram's vector binds (multiplies) its letters' vectors, each rotated by its
 place.  A text's vector is the bundle (sum) of its n-grams' vectors; a language
 prototype is the bundle of its training texts' vectors, each of unit length.
-A text is compared with all prototypes by cosine.
+A text is compared with all prototypes by cosine, after the mean of the
+prototypes (what all languages share) is taken off both sides.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ def learn_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     Each task bundles its own rows by language, then sums are added by
     language and dimension; the driver gets one vector for each language.
+    More than ``MOST_LANGUAGES`` (more than there are languages) is an error:
+    such a column names something else.
     """
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & (F.lit(True) if where is None else where))
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -115,11 +118,13 @@ def learn_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``lang_pred``, ``score`` (0 to 1), ``cosine`` and ``highest`` to every row.
 
-    The nearest prototype by cosine wins, ties by code point; ``score`` is its
+    The nearest prototype by cosine wins, both sides less the mean prototype
+    where there are several; ties go by code point.  ``score`` is its
     share of the exponentials of all cosines.  ``cosine`` is that to the
     winner before centring, ``highest`` the greatest to any prototype.  A null
     text, one without a letter, and any text where nothing was learned is
-    ``und`` with 0.
+    ``und`` with 0.  Prototypes are sent to every task: ``MOST_LANGUAGES`` of
+    4 KB each at most.
     """
     names = sorted(prototypes)
     table = np.array([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))

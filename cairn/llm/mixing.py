@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1
     w = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(x) for x in weights]), turn))
     order = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)  # as many rows as sources
     w = w.select(
         "*",
         F.sum("source_size").over(Window.partitionBy()).alias("total"),
@@ -109,8 +109,9 @@ def mix_sources(
     Returns the id, ``source``, ``size``, ``source_size``, ``target``,
     ``copies`` (0 to ``most``) and ``taken`` = copies * size.  Null and empty
     texts have size 0; null is a source of its own; rows that agree in id and
-    text stand or fall together; a source's sum misses its target by half of
-    its boundary document at most.  With ``keep``, these columns of the row come
+    text have one hash and stand or fall together; a source's sum misses its
+    target by half of the words of one hash at most: of its boundary document,
+    with all its repeated rows.  With ``keep``, these columns of the row come
     before ``copies`` instead; no join on the id is needed.  Other columns are
     not read.
     """

@@ -24,6 +24,8 @@ from .common import annotate
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Longest text in a sample, and the sample's seed.
+SAMPLE_CHARS, SEED = 1 << 20, 11
 
 
 class TextView:
@@ -127,13 +129,12 @@ def cascade_order(estimates: Sequence[RuleEstimate]) -> list[str]:
 
 
 def sample_texts(docs: DataFrame, text_col: str, sample_rows: int) -> list[str | None]:
-    """Up to ``sample_rows`` texts, for estimates of cost only.
+    """A random sample of up to ``sample_rows`` texts of up to ``SAMPLE_CHARS`` characters, for estimates alone.
 
-    They are the first that a scan meets: the estimate steers the order of
-    rules, which no result depends on.
+    It steers the order of rules, which no verdict depends on.
     """
-    column = F.col(f"`{text_col}`").cast("string")
-    return [r[0] for r in docs.select(column).limit(sample_rows).collect()]
+    some = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    return [r["text"] for r in some.orderBy(F.rand(SEED)).limit(sample_rows).collect()]
 
 
 def quality_cascade(
@@ -146,7 +147,10 @@ def quality_cascade(
 ) -> DataFrame:
     """Append ``kept``, ``failed_rule`` (null if kept) and ``rules_tried``.
 
-    A null or empty text has no words.  ``measures`` appends the five counts
+    ``kept`` is the same in every run.  ``failed_rule`` names the first rule
+    that the cascade saw fail and ``rules_tried`` how many it tried: they tell
+    of its order, which clocks decide, so they can differ between runs.  A
+    null or empty text has no words; repeated rows are judged alike.  ``measures`` appends the five counts
     of ``MEASURES`` as well, and ``base_failed``; they are taken of every text,
     after the cascade.  ``keep`` names the columns that stay; same-named
     columns are replaced.  Only the cost estimate is sampled: every row is

@@ -81,7 +81,9 @@ def assign_shards(
     Equal keys share a shard; a null key counts as the empty text.  Columns of
     those names are replaced.  Rows never move: no shuffle, whatever the skew.
     """
-    table = lookup_table(df.sparkSession, shards, slots, weights).withColumnRenamed("slot", "_slot")
-    keyed = df.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots)).drop("slot", "shard")
-    placed = keyed.join(F.broadcast(table), "_slot")
-    return placed.select(*[F.col(f"`{c}`") for c in keyed.columns if c != "_slot"], F.col("_slot").alias("slot"), "shard")
+    taken = {c.lower() for c in df.columns}
+    at = next(name for i in range(len(taken) + 1) if (name := f"_slot{i}") not in taken)
+    table = lookup_table(df.sparkSession, shards, slots, weights).withColumnRenamed("slot", at)
+    keyed = df.withColumn(at, slot_of(F.col(f"`{key}`"), slots)).drop("slot", "shard")
+    placed = keyed.join(F.broadcast(table), at)
+    return placed.select(*[F.col(f"`{c}`") for c in keyed.columns if c != at], F.col(at).alias("slot"), "shard")

@@ -171,3 +171,120 @@ def test_mix_comes_near_its_targets(docs):
     got = mix_sources(docs).toPandas()
     for _, g in got.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() and (g.taken <= 3 * g["size"]).all()
+
+
+def test_labelled_sample(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c" * 100), (4, "d"), (None, "e"), (6, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (4, 1), (None, 1), (5, 1), (6, 2), (3, None)], "doc_id long, quality int")
+    rows, totals = compression.labelled_sample(docs, labels, "quality", 10)
+    assert rows == [("a", 1), (None, 0), ("c" * 100, 1)] and totals == (1, 3)
+    assert compression.labelled_sample(docs.union(docs), labels, "quality", 10)[0] == rows
+    assert len(compression.labelled_sample(docs, labels, "quality", 1)[0]) <= 2
+    assert compression.labelled_sample(docs, labels, "quality", 10, bytes_each=50)[0] in ([("a", 1), (None, 0)], [(None, 0)])
+    assert compression.labelled_sample(docs.limit(0), labels, "quality", 10)[0] == []
+    assert compression.labelled_sample(docs, labels.limit(0), "quality", 10) == ([], (0, 0))
+
+
+def test_scores_keep_the_labels_share():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda y: " ".join(rng.choice(words[: 220] if y else words[80:], 60))
+    rows = [(text(y), y) for _ in range(120) for y in (0, 1)]
+    even, odd = compression.fit(rows), compression.fit(rows, (1000, 9000))
+    assert odd.slope == even.slope and odd.base - even.base == pytest.approx(np.log(9))
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
+    whole = token_files.LibraryEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(whole.encode("Hello  World"), "<u4").tolist() == library.encode("Hello  World", add_special_tokens=False).ids
+
+
+def test_word_encoder_in_arrays():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    letters = list("  \n\t'slldrevm  aé中1²!?<|>\U0001f600\r\x0b\x1c\x85_٣　​")
+    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(4000)] + [None, "", " ", "  ", "a<|endoftext|> b", "x" * 1000, "\n \n x"]
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for coder in (token_files.LibraryEncoder(bpe.default_vocabulary()), bpe.ByteBpe(bpe.default_vocabulary()).words):
+        flat, ends = coder.encode_array(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == want
+        assert [len(x) for x in np.split(flat, ends[:-1])] == list(map(len, want))
+    mine = bpe.ByteBpe(bpe.default_vocabulary())
+    assert mine.decode_all(flat, ends) == [t or "" for t in texts]
+
+
+def test_shards_by_table(spark):
+    from cairn.llm.sharding import fill
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z"), (1, "d", "w")], "doc_id long, _slot0 string, Shard string")
+    got = assign_shards(rows).collect()
+    table = fill([f"shard-{i:02d}" for i in range(16)], 2039)
+    import hashlib
+
+    for r in got:
+        slot = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16) % 2039
+        assert (r["slot"], r["shard"]) == (slot, f"shard-{table[slot]:02d}")
+    assert sorted(r["_slot0"] for r in got) == list("abcd")
+    assert max(np.bincount(table)) - min(np.bincount(table)) <= 1
+    moved = np.mean(np.array(fill([f"s{i}" for i in range(15)], 2039)) != np.array(fill([f"s{i}" for i in range(16)], 2039)))
+    assert moved < 0.25
+
+
+def test_mix_caps_and_reshares(spark):
+    sizes = {"a": 100, "b": 1000, "c": 10}
+    rows = [(i, " ".join(["w"] * 10), s) for s, n in sizes.items() for i in range(n // 10)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().groupby("source").target.first()
+    # Weights 1, 2, 3 of 1,110 words: 185, 370, 555; c stops at 30, the rest goes 1 to 2: 360, over a's 300; b has the rest.
+    assert dict(got) == {"a": pytest.approx(300), "b": pytest.approx(780), "c": pytest.approx(30)}
+
+
+def test_language_odd_cases(spark, docs, monkeypatch):
+    train = spark.createDataFrame([(1, "abc abc", "x"), (2, "abc abc", "y"), (3, "12 !", "z"), (4, None, "z")], "doc_id long, text string, lang string")
+    prototypes = language.learn_prototypes(train)
+    assert sorted(prototypes) == ["x", "y"]
+    assert {r["lang_pred"] for r in language.identify(train.where("doc_id < 3"), prototypes).collect()} == {"x"}
+    assert language.identify(docs.limit(0), prototypes).count() == 0
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language.learn_prototypes(train)
+
+
+def test_nearest_of_repeated_ids_and_lengths(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0]), (3, [5.0]), (20, [2.0]), (4, [4.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "clash", 9) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
+    got = sorted(map(tuple, nearest.search(df, F.col("vec_id") % 20 == 0, k=2).collect()))
+    assert got == [(0, 1, 4, 4.0), (0, 2, 1, 3.0), (20, 1, 3, 10.0)]
+
+
+def test_two_token_runs(docs):
+    runs = [sorted(map(tuple, token_files.read_checksums(token_files.token_files(docs)[1]).select("start", "n_tokens", "ids_crc32").collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+
+
+def test_cascade_agrees_with_all_rules(docs):
+    from cairn.llm.quality_rules import RULES, TextView
+
+    for r in quality_cascade(docs, measures=True).collect():
+        assert r["kept"] == (not any(rule.fails(TextView(r["text"])) for rule in RULES))
+        assert r["kept"] == (r["failed_rule"] is None) and not (r["base_failed"] and r["kept"])
+
+
+def test_sweep(spark):
+    import os
+
+    from cairn import folders
+
+    table = folders.written(spark.range(3).toDF("x"), "sweep")
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    folders.sweep(spark)
+    assert not os.path.exists(path)

@@ -97,3 +97,63 @@ def test_mixing_takes_each_row_by_its_own_count(spark):
     taken = Counter(r["mix_hash"] for r in mix_sources(docs).collect() for _ in range(r["copies"]))
     got = corpus_pipeline.mixing(spark, docs, SF).select(mix_hash("doc_id", "text").alias("h"))
     assert Counter(r["h"] for r in got.collect()) == taken and taken
+
+
+def test_language_stage_fills_unknown_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    hidden = docs.where("lang is not null").limit(20)
+    known = {r["doc_id"]: r["lang"] for r in hidden.collect()}
+    blank = hidden.selectExpr("doc_id + 1000000 as doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    got = {r["doc_id"] - 10**6: r["lang"] for r in corpus_pipeline.language_id(spark, docs.union(blank), SF).where("doc_id >= 1000000").collect()}
+    assert sum(known[i] == got.get(i) for i in known) >= 18
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 80, None, None, 1), (None, "plain words in a line " * 20, "en", "t", None)]
+    docs = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string, copies int, kept boolean")
+    counts = [stage(spark, docs, SF).count() for _, stage in corpus_pipeline.STAGES]
+    assert counts[0] == 2 and counts[2] == 3 and counts[4] == 5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from cairn.llm import bpe, language
+    from cairn.llm.oracles import ORACLES
+    from cairn.llm.quality_rules import RULES, TextView
+
+    docs = duckdb.sql(f"SELECT * FROM '{SF}/documents.parquet'").fetchdf().astype(object).where(lambda x: x.notna(), None).to_dict("records")
+    profiler, sums = language.Profiler(), {}
+    for r in docs:
+        r["v"] = profiler.vector(r["text"])
+        if r["lang"] is not None and r["v"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + r["v"]
+    names = sorted(sums)
+    table = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    centre = table.mean(axis=0)
+    docs = [r for r in docs if r["v"] is not None and (table @ r["v"]).max() >= language.CHANCE]
+    for r in docs:
+        shifted = (table - centre) / np.linalg.norm(table - centre, axis=1, keepdims=True) @ (r.pop("v") - centre)
+        r["lang"] = r["lang"] or names[int(shifted.argmax())]
+    docs = [r for r in docs if not any(rule.fails(TextView(r["text"])) for rule in RULES)]
+    sets = [slow_shingles(r["text"]) for r in docs]
+    group = list(range(len(docs)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if group[i] != group[j] and 5 * len(x & y) >= 4 * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = [min((r for r, g in zip(docs, group) if g == k), key=lambda r: r["doc_id"]) for k in sorted(set(group))]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([tuple(r[f.name] for f in schema) for r in kept], schema).coalesce(1).write.parquet(f"{tmp_path}/kept")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/kept/*.parquet'")
+    times = {i: taken // size for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({ORACLES['op5_mixing']})").fetchall()}
+    library, want = Tokenizer.from_file(bpe.default_vocabulary()), Counter()
+    for r in kept:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        want[r["doc_id"], r["lang"], r["source"], len(ids), np.array(ids, "<u4").tobytes(), True] += times[r["doc_id"]]
+    got = Counter((r["doc_id"], r["lang"], r["source"], r["n_tokens"], bytes(r["token_ids"]), r["intact"]) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == +want
