@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ranged
 
 
 def latest(rows: DataFrame, order: str | list[str] = "version") -> DataFrame:
@@ -62,7 +63,7 @@ def metrics(current: DataFrame, log: DataFrame) -> DataFrame:
 
 def with_previous(log: DataFrame) -> DataFrame:
     """Writes with ``prev``: the value of the key before, null if it had none."""
-    return writes(log).withColumn("prev", F.lag("value").over(Window.partitionBy("key").orderBy("version")))
+    return ranged.with_previous(writes(log), ["key"], "version", F.col("value"), "prev")
 
 
 def keys_count_steps(log: DataFrame) -> DataFrame:
@@ -106,5 +107,5 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def version_history(log: DataFrame) -> DataFrame:
     """Every written value with the versions it holds for: [valid_from, valid_to), open if null."""
-    following = F.lead("version").over(Window.partitionBy("key").orderBy("version"))
-    return writes(log).select("key", "value", F.col("version").alias("valid_from"), following.alias("valid_to")).where("value is not null")
+    rows = ranged.with_next(writes(log), ["key"], "version", F.col("version"), "valid_to")
+    return rows.where("value is not null").select("key", "value", F.col("version").alias("valid_from"), "valid_to")

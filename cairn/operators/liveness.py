@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import ranged
 from .replica import remove_nodes
 
 #: Ticks whose sets are compared together.
@@ -88,13 +89,8 @@ def change_feed(ticks: DataFrame) -> DataFrame:
     the first of a range meets the last of the range before it, one row each.
     """
     sets = ticks.groupBy("tick").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("nodes"))
-    sets = sets.withColumn("range", F.floor(F.col("tick") / TICKS))
-    last = sets.groupBy("range").agg(F.max_by("nodes", "tick").alias("nodes"))
-    last = last.select(F.col("range").alias("of"), F.lag("nodes").over(Window.orderBy("range")).alias("earlier"))
-    own = F.lag("nodes").over(Window.partitionBy("range").orderBy("tick"))
-    met = sets.withColumn("own", own).join(last, F.col("range") == F.col("of"))
-    before = F.coalesce("own", "earlier")
-    return met.where(~F.col("nodes").eqNullSafe(before)).select("tick", "nodes")
+    met = ranged.with_previous(sets, [], "tick", F.col("nodes"), "before", TICKS)
+    return met.where(~F.col("nodes").eqNullSafe(F.col("before"))).select("tick", "nodes")
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import replica
@@ -100,8 +101,12 @@ class GossipLoop:
         if self.on_round:
             self.on_round(self.state(), number)
 
+    def start(self, deltas: DataFrame, checkpoint: str, interval: float | None = None) -> StreamingQuery:
+        """The running loop: a round every ``interval`` seconds, or over what there is now; ``stop()`` ends it."""
+        writer = deltas.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.step)
+        return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=f"{interval} seconds")).start()
+
     def run(self, deltas: DataFrame, checkpoint: str) -> DataFrame:
         """Apply what the stream of (node, key, value, version) holds now; the state after it."""
-        query = deltas.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(self.step).start()
-        query.awaitTermination()
+        self.start(deltas, checkpoint).awaitTermination()
         return self.state()

@@ -205,3 +205,22 @@ def test_streamed_beats_in_two_runs(spark, tmp_path):
         spark.createDataFrame(beats, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         got = stateful.to_table(stream(), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert sorted(map(tuple, got.collect())) == [("x", 3.0, 2.0, 2.0), ("x", 7.0, 4.0, 3.0), ("x", 40.0, 5.0, 4.5)]
+
+
+def test_neighbours_across_ranges(spark):
+    from cairn.operators import ranged
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 25, "y"), ("a", 26, "z"), (None, 7, "n"), (None, 90, "m"), ("b", 5, "o")], "key string, version long, value string")
+    before = ranged.with_previous(rows, ["key"], "version", rows["value"], "prev", span=10)
+    assert {(r["key"], r["version"]): r["prev"] for r in before.collect()} == {("a", 1): None, ("a", 3): "x", ("a", 25): None, ("a", 26): "y", (None, 7): None, (None, 90): "n", ("b", 5): None}
+    after = ranged.with_next(rows, ["key"], "version", rows["version"], "next", span=10)
+    assert {(r["key"], r["version"]): r["next"] for r in after.collect()} == {("a", 1): 3, ("a", 3): 25, ("a", 25): 26, ("a", 26): None, (None, 7): 90, (None, 90): None, ("b", 5): None}
+
+
+def test_gossip_defaults():
+    from cairn.config import GossipConfig
+
+    conf = GossipConfig(seeds=("a:1", "", "a:1", "b:2"))
+    assert conf.seeds == ("a:1", "b:2") and conf.cluster_id == "default-cluster" and conf.liveness.threshold == 8.0
+    with pytest.raises(ValueError):
+        GossipConfig(interval=0)
