@@ -97,7 +97,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
-    OR 10 * n_dup_lines > 3 * len(string_split(text, chr(10))) OR upper_ > lower_) AS kept
+    OR 2 * n_dup_lines > len(string_split(text, chr(10))) OR upper_ > lower_) AS kept
 FROM b
 """
 

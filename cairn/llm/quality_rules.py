@@ -94,7 +94,7 @@ BASE = (
 RULES = BASE + (
     Rule("many_symbols", lambda v: 10 * v.n_symbols > 2 * v.n_words),
     Rule("word_length", lambda v: not 2 * v.n_words <= v.word_chars <= 12 * v.n_words),
-    Rule("duplicate_lines", lambda v: 10 * v.n_dup_lines > 3 * (v.text.count("\n") + 1)),
+    Rule("duplicate_lines", lambda v: 2 * v.n_dup_lines > v.text.count("\n") + 1),
     Rule("shouting", lambda v: v.n_upper > v.n_lower),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
