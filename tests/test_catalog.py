@@ -56,11 +56,17 @@ def test_ring_edges(spark):
     assert {r["node"] for r in ring.lookup_tolerant(keys, ring.build(nodes), invalid, 5).collect()} == {None}
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if "supplier" not in catalog.ORACLES[n]])
-def test_empty_tables(spark, tmp_path, name):
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
     for t in TABLES:
-        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
-    catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_empty_tables(spark, empty, name):
+    catalog.QUERIES[name](spark, empty).collect()
 
 
 STATE = "node string, key string, value string, version long"
