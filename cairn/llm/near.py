@@ -1,16 +1,21 @@
-"""Near copies by the Jaccard similarity of five-word shingles, exactly verified.
-
-Positional bytes of a SimHash cannot cover a similarity of 0.8: at least one
-byte is sure to be shared only while fewer than one bit in eight differs, and
-at 0.8 more than 15 % of the bits differ on average.  Candidates therefore come
-from MinHash: texts that agree in all ``ROWS`` minima of one of ``BANDS`` bands
-meet in a list.  A pair at similarity s meets with probability
-1 - (1 - s ** ROWS) ** BANDS, which is 0.9999 at 0.8.  Lists that have a text
-in common are joined, and within what they join every pair is compared by its
-whole shingle sets.
-
-Work is bounded by distinct texts.  What lists join is split into blocks as in
-``simhash``: a task holds two blocks at most and returns a forest, not pairs.
+"""Near copies by SimHash: a byte-position inverted index, then exact similarity.
+
+``simhash``'s 64 bits cannot cover a Jaccard similarity of 0.8: there 15 % of
+the bits differ, and eight positional bytes guarantee a shared one only under
+12.5 %.  The fingerprint is therefore wider, ``LISTS`` units of two positional
+bytes, over the distinct shingles of five words, and what is kept is a chance
+and no certainty: at 0.8 a unit is shared with probability 0.073, so a pair
+meets in some list of 128 with probability 0.9999, in nine on average.
+
+The index lists every distinct text under each of its units.  A posting carries
+the ``SPAN`` units that follow its own, around the end.  In each list the
+shared positional bytes of a pair are tallied, pairs under ``LEAST_BYTES`` more
+than the list's own two fall out, and so do those that differ in more than
+``MOST_BITS`` of the carried bits.  What is left is joined, and within what it
+joins every pair is compared by its whole shingle sets.
+
+Work is bounded by distinct texts.  Long lists, and what lists join, are split
+into blocks as in ``simhash``: a task returns a forest, not pairs.
 """
 
 from __future__ import annotations
@@ -31,12 +36,21 @@ from .components import connected_components
 WIDTH, SEED = 5, 42
 #: Similarity from which two texts are near copies, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 24, 5
-#: Shingles whose minima are taken at a time.
-CHUNK = 1024
-_DRAW = np.random.Generator(np.random.PCG64(SEED))
-_TIMES = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
-_PLUS = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+#: Units of a fingerprint, each two positional bytes and one list of the index.
+LISTS = 128
+#: Units that a posting carries: 16 positional bytes, 128 bits.
+SPAN = 8
+#: Carried bytes that a pair shares at least, and bits in which it may differ.
+LEAST_BYTES, MOST_BITS = 1, 28
+#: Shingles whose bits are added at a time: their counts fit a byte.
+CHUNK = 255
+#: Texts whose postings are made at a time.
+TEXTS = 1000
+#: Bits of a task's number for each of its two blocks.
+BLOCK_BITS = 17
+#: One text in so many is counted to find long lists.
+COUNTED = 16
+_SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, LISTS // 4, dtype=np.uint64)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -50,13 +64,21 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))), dtype=np.uint64))
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key for each band of the minima of a shingle set."""
-    low = h.astype(np.uint32)
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
-    for at in range(0, len(low), CHUNK):
-        np.minimum(least, (low[at : at + CHUNK] * _TIMES + _PLUS).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+def widened(h: np.ndarray) -> np.ndarray:
+    """The bits of each shingle, ``2 * LISTS`` bytes, drawn from its hash."""
+    x = h[:, None] ^ _SALTS
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= np.uint64(times)
+        x ^= x >> np.uint64(33)
+    return x.astype("<u8", copy=False).view(np.uint8)
+
+
+def fingerprint(h: np.ndarray) -> bytes:
+    """SimHash of a shingle set: a bit is 1 if set in over half the shingles; zero without any."""
+    ones = np.zeros(16 * LISTS, dtype=np.int64)
+    for at in range(0, len(h), CHUNK):
+        ones += np.add.reduce(np.unpackbits(widened(h[at : at + CHUNK]), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
 def text_key(text: str) -> Column:
@@ -64,6 +86,119 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def postings(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n fingerprints as rows of bytes: list numbers and both carried words, each n by ``LISTS``."""
+    units = np.ascontiguousarray(prints).view("<u2").astype(np.uint64)
+    lists = (np.arange(LISTS) << 16) + units.astype(np.int64)
+    turned = np.concatenate([units, units[:, : SPAN + 1]], axis=1)
+    four = sum(turned[:, i : turned.shape[1] - 3 + i] << np.uint64(16 * i) for i in range(4))
+    return lists, four[:, 1 : LISTS + 1], four[:, 1 + SPAN // 2 : LISTS + 1 + SPAN // 2]
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, print) -> rows (list, key, one, two)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 2 * LISTS)
+            lists, one, two = postings(prints)
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), LISTS)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(keys), pa.array(one.ravel().view(np.int64)), pa.array(two.ravel().view(np.int64))], names=["list", "key", "one", "two"])
+
+
+def _differing_bytes(x: np.ndarray) -> np.ndarray:
+    y = x | (x >> np.uint64(4))
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    return np.bitwise_count(y & np.uint64(0x0101010101010101))
+
+
+def meeting(task: np.ndarray, side: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that join what passes the count filter and the bit check in each task.
+
+    ``task`` is sorted.  Where a task has two sides, only pairs of both are compared.
+    """
+    label = np.arange(len(task))
+    start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    size = np.diff(np.r_[start, len(task)])
+    mixed = np.repeat(np.maximum.reduceat(side, start) > 0, size)
+    size = np.repeat(size, size)
+    us, vs = [], []
+    # Tasks of like size go together, so that few shifted rows leave their task.
+    low = 1
+    while low < size.max():
+        rows = np.flatnonzero((size > low) & (size <= 2 * low))
+        low *= 2
+        t = task[rows]
+        for d in range(1, low):
+            met = np.flatnonzero(t[d:] == t[:-d])
+            if not len(met):
+                break
+            i, j = rows[met], rows[met + d]
+            new = (label[i] != label[j]) & ((side[i] != side[j]) | ~mixed[i])
+            i, j = i[new], j[new]
+            x, y = one[i] ^ one[j], two[i] ^ two[j]
+            ok = _differing_bytes(x) + _differing_bytes(y) <= 2 * SPAN - LEAST_BYTES
+            ok &= np.bitwise_count(x) + np.bitwise_count(y) <= MOST_BITS
+            if not ok.any():
+                continue
+            i, j = i[ok], j[ok]
+            us.append(i)
+            vs.append(j)
+            # Equal labels are joined by pairs already given; the reverse need not hold.
+            parent = np.arange(len(task))
+            parent[np.maximum(label[i], label[j])] = np.minimum(label[i], label[j])
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+            label = parent[label]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, key, one, two) sorted by task -> edges."""
+
+    def edges(task, side, key, one, two):
+        i, j = meeting(task, side, one.view(np.uint64), two.view(np.uint64))
+        a, b = key[i], key[j]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    rest = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        rest = [x[cut:] for x in now]
+        if cut:
+            yield from edges(*[x[:cut] for x in now])
+    if rest is not None:
+        yield from edges(*rest)
+
+
+def link_prints(prints: DataFrame, block: int = 4096) -> DataFrame:
+    """Edges (u, v), u > v, that join the texts whose fingerprints meet in a list and pass its checks.
+
+    ``prints`` has distinct ``key`` and ``print``.  A list of more than
+    ``block`` texts, by a count of one text in ``COUNTED``, is split into
+    blocks, and every pair of blocks is a task.
+    """
+    schema = "list long, key long, one long, two long"
+    some = prints.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).mapInArrow(_post, schema)
+    long = staged(some.groupBy(F.col("list").alias("l")).agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block), "long-lists")
+    blocks = F.least(F.ceil(F.coalesce("n", F.lit(1)) / block), F.lit(1 << BLOCK_BITS)).cast("int")
+    rows = prints.mapInArrow(_post, schema).join(long, F.col("list") == F.col("l"), "left")
+    # A text of block b meets each block j in the task of (b, j).
+    rows = rows.select("list", "key", "one", "two", F.pmod(F.xxhash64("key", F.lit(SEED)), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    low, high = F.least("b", "j").cast("long"), F.greatest("b", "j").cast("long")
+    task = F.shiftleft("list", 2 * BLOCK_BITS) + low * (1 << BLOCK_BITS) + high
+    rows = rows.select(task.alias("task"), F.when(F.col("b") == low, 0).otherwise(1).cast("byte").alias("side"), "key", "one", "two")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "u long, v long").distinct()
+
+
 def forest(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
     """Pairs that join the components of the sets at ``LEAST``.
 
@@ -126,13 +261,11 @@ def near_components(docs: DataFrame, text_col: str = "text", block: int = 1024)
     texts = docs.select(text_key(f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def make():
-        return lambda batch: [[band_keys(shingles(x.as_py())) for x in batch]]
+        return lambda batch: [[fingerprint(shingles(x.as_py())) for x in batch]]
 
-    banded = staged(annotate(texts, "text", make, [T.StructField("bands", T.ArrayType(T.LongType()))], keep=["key"]), "bands")
-    met = banded.select("key", F.explode("bands").alias("band")).distinct()
-    lists = met.groupBy("band").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), "v")
-    stars = met.join(lists, F.col("band") == F.col("b")).where("key <> v").select(F.col("key").alias("u"), "v")
-    joined = connected_components(stars)
+    marked = annotate(texts, "text", make, [T.StructField("print", T.BinaryType())], keep=["key"])
+    prints = staged(marked.groupBy("key").agg(F.first("print").alias("print")), "prints")
+    joined = connected_components(link_prints(prints, 4 * block))
     clusters = staged(joined.select(F.col("u").alias("k"), F.col("v").alias("cluster")).unionByName(joined.select(F.col("v").alias("k"), F.col("v").alias("cluster")).distinct()), "clusters")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("cluster", "c")
     placed = clusters.join(blocks, F.col("cluster") == F.col("c")).select("k", "cluster", "blocks", F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("own"))

@@ -50,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one row of each group of near copies: the least id, of rows with that id the least text.
 
     Groups join texts whose shingles of five words have a Jaccard similarity
-    of 0.8 or more.  An id decides only within its group: rows of other groups
+    of 0.8 or more, found by SimHash's positional bytes (``cairn.llm.near``)
+    and compared by whole sets.  An id decides only within its group: rows of other groups
     stay, with the same id or without one.  A group without ids keeps its
     least text.  Null, empty and blank texts are one group; repeated rows
     leave one; columns besides those of documents fall.

@@ -157,3 +157,26 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         want[r["doc_id"], r["lang"], r["source"], len(ids), np.array(ids, "<u4").tobytes(), True] += times[r["doc_id"]]
     got = Counter((r["doc_id"], r["lang"], r["source"], r["n_tokens"], bytes(r["token_ids"]), r["intact"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == +want
+
+
+def test_near_copies_are_found_by_positional_bytes(spark):
+    rng = random.Random(5)
+    sets = []
+    for n in range(40):
+        shared = [rng.getrandbits(64) for _ in range(80)]
+        sets += [shared + [rng.getrandbits(64) for _ in range(10)] for _ in range(2)]
+    prints = [near.fingerprint(near.np.array(s, dtype=near.np.uint64)) for s in sets]
+    edges = set()
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints[:i]):
+            for at in range(near.LISTS):
+                if x[2 * at : 2 * at + 2] == y[2 * at : 2 * at + 2]:
+                    a, b = ((p + p)[2 * at + 2 : 2 * at + 2 + 2 * near.SPAN] for p in (x, y))
+                    same = sum(p == q for p, q in zip(a, b))
+                    bits = sum((p ^ q).bit_count() for p, q in zip(a, b))
+                    if same >= near.LEAST_BYTES and bits <= near.MOST_BITS:
+                        edges.add((i, j))
+    assert {(2 * i + 1, 2 * i) for i in range(40)} <= edges
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, prints))), "key long, print binary")
+    for block in (4096, 3):
+        assert {(r["u"], r["v"]) for r in near.link_prints(rows, block).collect()} == edges
