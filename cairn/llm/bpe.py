@@ -86,19 +86,19 @@ class WordEncoder:
 
     Texts are cut at blanks and their words numbered in Arrow; ``encode_words``
     makes the ids of each new string by itself, and those of a blank and a word
-    are remembered up to ``REMEMBERED`` bytes.  Texts that hold one of ``added``
+    are remembered up to ``remembered`` bytes.  Texts that hold one of ``added``
     go to ``encode_whole``; those with a run of white space around a blank are
     cut by ``joined_blanks``.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], added: Sequence[str]):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], added: Sequence[str], remembered: int = REMEMBERED):
         self.encode_words, self.encode_whole, self.added = encode_words, encode_whole, list(added)
         self.memory: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.remembered = 0, remembered
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of a blank and each of the words."""
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             self.memory.clear()
             self.held = 0
         found = list(map(self.memory.get, words))
@@ -170,7 +170,7 @@ def plain_byte_level(spec: dict) -> bool:
 class ByteBpe:
     """Encoder and decoder of one vocabulary file (JSON, plain byte-level BPE; any other is an error)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if not plain_byte_level(spec):
@@ -190,7 +190,7 @@ class ByteBpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self._pieces = regex.compile(PATTERN).findall
-        self.words = WordEncoder(lambda words: list(map(self._encode_short, words)), self._encode_whole, list(self.added))
+        self.words = WordEncoder(lambda words: list(map(self._encode_short, words)), self._encode_whole, list(self.added), remembered)
         self.string_at = np.zeros(max(self.strings) + 2, dtype=np.int64)
         for i, x in self.strings.items():
             self.string_at[i + 1] = len(x)
@@ -261,17 +261,18 @@ def binary_runs(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def _coder(path: str, remembered: int = REMEMBERED) -> ByteBpe:
+    return ByteBpe(path, remembered)
 
 
-def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, decoded: bool = False, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Append ``token_ids`` (binary: unsigned 32-bit integers, little-endian) and ``n_tokens``.
 
     ``decoded`` appends ``decoded_text``, the ids turned back into text.  Null
     and empty texts have no tokens and decode to the empty text.  Same-named
     columns are replaced; every row keeps its place, without a shuffle.
-    ``vocabulary`` is a path that every executor can read.
+    ``vocabulary`` is a path that every executor can read.  ``remembered``
+    bounds the bytes of words that a worker keeps, and changes no result.
     """
     path = vocabulary or default_vocabulary()
     fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
@@ -279,7 +280,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         fields.append(T.StructField("decoded_text", T.StringType()))
 
     def make():
-        coder = _coder(path)
+        coder = _coder(path, remembered)
 
         def run(texts):
             flat, ends = coder.words.encode_array(texts)

@@ -19,6 +19,8 @@ from cairn.llm.quality_rules import quality_cascade
 
 #: The columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of words that a worker of the last stage keeps: the stages before leave it less memory.
+REMEMBERED = 1 << 26
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +53,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Groups join texts whose shingles of five words have a Jaccard similarity
     of 0.8 or more, found by SimHash's positional bytes (``cairn.llm.near``)
-    and compared by whole sets.  An id decides only within its group: rows of other groups
-    stay, with the same id or without one.  A group without ids keeps its
-    least text.  Null, empty and blank texts are one group; repeated rows
-    leave one; columns besides those of documents fall.
+    and compared by whole sets.  An id decides only within its group: rows of
+    other groups stay, with the same id or without one.  A group without ids
+    keeps its least text.  Null, empty and blank texts are one group; repeated
+    rows leave one; columns besides those of documents fall.
     """
     roots = near_components(docs)
     rest = [F.asc_nulls_last("doc_id"), "text", "source", "lang", "n_chars"]
@@ -84,7 +86,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and decode to the empty text, which
     counts as intact.  Every row gives one row.
     """
-    coded = encode_texts(docs, decoded=True, keep=COLUMNS)
+    coded = encode_texts(docs, decoded=True, keep=COLUMNS, remembered=REMEMBERED)
     intact = F.coalesce(F.col("decoded_text") == F.coalesce("text", F.lit("")), F.lit(False))
     return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", intact.alias("intact"))
 

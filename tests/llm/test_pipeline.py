@@ -180,3 +180,17 @@ def test_near_copies_are_found_by_positional_bytes(spark):
     rows = spark.createDataFrame(list(enumerate(map(bytearray, prints))), "key long, print binary")
     for block in (4096, 3):
         assert {(r["u"], r["v"]) for r in near.link_prints(rows, block).collect()} == edges
+
+
+def test_bpe_remembers_within_its_bound():
+    from cairn.llm import bpe
+
+    rng = random.Random(6)
+    texts = near.pa.array([" ".join(f"{rng.choice('abcdef')}{rng.randrange(300)}" for _ in range(50)) for _ in range(40)])
+    free, bound = bpe.ByteBpe(bpe.default_vocabulary()), bpe.ByteBpe(bpe.default_vocabulary(), remembered=20_000)
+    for at in range(0, 40, 4):
+        a, b = (c.words.encode_array(texts.slice(at, 4)) for c in (free, bound))
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        # One batch of at most 200 new words may lie above the bound.
+        assert bound.words.held <= 20_000 + 200 * (bpe.ENTRY + 50)
+    assert free.words.held > 100_000
