@@ -14,13 +14,19 @@ than the list's own two fall out, and so do those that differ in more than
 ``MOST_BITS`` of the carried bits.  What is left is joined, and within what it
 joins every pair is compared by its whole shingle sets.
 
+A group of n near copies meets in many lists, which would join its texts up to
+128 n times.  So the ``FIRST`` twelve lists are met first, and the others join
+only what those left apart.  Beyond twelve lists taken by chance another joins
+a thirteenth of the texts at most, on average: some 21 edges for each text at
+most, and more only where lists are of several blocks.
+
 Work is bounded by distinct texts.  Long lists, and what lists join, are split
 into blocks as in ``simhash``: a task returns a forest, not pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -38,6 +44,8 @@ WIDTH, SEED = 5, 42
 LEAST = (4, 5)
 #: Units of a fingerprint, each two positional bytes and one list of the index.
 LISTS = 128
+#: Lists that are met before the others, about the root of their number.
+FIRST = range(0, LISTS, 11)
 #: Units that a posting carries: 16 positional bytes, 128 bits.
 SPAN = 8
 #: Carried bytes that a pair shares at least, and bits in which it may differ.
@@ -95,15 +103,20 @@ def postings(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lists, four[:, 1 : LISTS + 1], four[:, 1 + SPAN // 2 : LISTS + 1 + SPAN // 2]
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, print) -> rows (list, key, one, two)."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            batch = whole.slice(at, TEXTS)
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 2 * LISTS)
-            lists, one, two = postings(prints)
-            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), LISTS)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(keys), pa.array(one.ravel().view(np.int64)), pa.array(two.ravel().view(np.int64))], names=["list", "key", "one", "two"])
+def _post(chosen: Iterable[int]):
+    """Partition function: rows (key, root, print) -> rows (list, key, root, one, two) of the chosen lists."""
+    chosen = list(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, 2 * LISTS)
+                lists, one, two = (x[:, chosen].ravel().view(np.int64) for x in postings(prints))
+                key, root = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(chosen)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (lists, key, root, one, two))], names=["list", "key", "root", "one", "two"])
+
+    return run
 
 
 def _differing_bytes(x: np.ndarray) -> np.ndarray:
@@ -113,16 +126,21 @@ def _differing_bytes(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(y & np.uint64(0x0101010101010101))
 
 
-def meeting(task: np.ndarray, side: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def meeting(task: np.ndarray, root: np.ndarray, side: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that join what passes the count filter and the bit check in each task.
 
-    ``task`` is sorted.  Where a task has two sides, only pairs of both are compared.
+    Rows are sorted by ``task`` and ``root``; equal roots of a task are joined
+    already, and the first of them stands for all.  Where a task has two sides,
+    only pairs of both are compared.
     """
-    label = np.arange(len(task))
-    start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    new = np.r_[True, task[1:] != task[:-1]]
+    start = np.flatnonzero(new)
+    own = np.maximum.accumulate(np.where(new | np.r_[True, root[1:] != root[:-1]], np.arange(len(task)), 0))
+    label = own
     size = np.diff(np.r_[start, len(task)])
     mixed = np.repeat(np.maximum.reduceat(side, start) > 0, size)
-    size = np.repeat(size, size)
+    # A task of one root has nothing to join.
+    size = np.repeat(np.where(np.maximum.reduceat(own, start) > start, size, 0), size)
     us, vs = [], []
     # Tasks of like size go together, so that few shifted rows leave their task.
     low = 1
@@ -143,8 +161,8 @@ def meeting(task: np.ndarray, side: np.ndarray, one: np.ndarray, two: np.ndarray
             if not ok.any():
                 continue
             i, j = i[ok], j[ok]
-            us.append(i)
-            vs.append(j)
+            us.append(own[i])
+            vs.append(own[j])
             # Equal labels are joined by pairs already given; the reverse need not hold.
             parent = np.arange(len(task))
             parent[np.maximum(label[i], label[j])] = np.minimum(label[i], label[j])
@@ -155,14 +173,42 @@ def meeting(task: np.ndarray, side: np.ndarray, one: np.ndarray, two: np.ndarray
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
+def stars(i: np.ndarray, j: np.ndarray, side: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (u, v), u > v, that join what the pairs of places join.
+
+    In a component the keys of a side go to the least of them, and the greater
+    of the two least to the other.  So what a block returns is mostly the same
+    from task to task, where the pairs as met would differ.
+    """
+    at, pairs = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = pairs[: len(i)], pairs[len(i) :]
+    label = np.arange(len(at))
+    while (label[i] != label[j]).any():
+        np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+    side, key = side[at], key[at]
+    order = np.lexsort((key, side, label))
+    label, side, key = label[order], side[order], key[order]
+    start = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (side[1:] != side[:-1])][: len(at)])
+    least = key[start]
+    v = np.repeat(least, np.diff(np.r_[start, len(at)]))
+    both = np.flatnonzero(label[start[1:]] == label[start[:-1]])
+    a, b = least[both], least[both + 1]
+    u, v = np.concatenate([key[key != v], np.maximum(a, b)]), np.concatenate([v[key != v], np.minimum(a, b)])
+    return u, v
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, key, one, two) sorted by task -> edges."""
+    """Rows (task, root, side, one, two) sorted by task and root -> edges between roots."""
 
-    def edges(task, side, key, one, two):
-        i, j = meeting(task, side, one.view(np.uint64), two.view(np.uint64))
-        a, b = key[i], key[j]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+    def edges(task, root, side, one, two):
+        yield from _edges(*stars(*meeting(task, root, side, one.view(np.uint64), two.view(np.uint64)), side, root))
 
     rest = None
     for batch in batches:
@@ -184,19 +230,27 @@ def link_prints(prints: DataFrame, block: int = 4096) -> DataFrame:
 
     ``prints`` has distinct ``key`` and ``print``.  A list of more than
     ``block`` texts, by a count of one text in ``COUNTED``, is split into
-    blocks, and every pair of blocks is a task.
+    blocks, and every pair of blocks is a task.  What the ``FIRST`` lists join
+    has one root in the others, which return edges between roots.
     """
-    schema = "list long, key long, one long, two long"
-    some = prints.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).mapInArrow(_post, schema)
+    schema = "list long, key long, root long, one long, two long"
+    rooted = prints.select("key", F.col("key").alias("root"), "print")
+    some = rooted.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).mapInArrow(_post(range(LISTS)), schema)
     long = staged(some.groupBy(F.col("list").alias("l")).agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block), "long-lists")
-    blocks = F.least(F.ceil(F.coalesce("n", F.lit(1)) / block), F.lit(1 << BLOCK_BITS)).cast("int")
-    rows = prints.mapInArrow(_post, schema).join(long, F.col("list") == F.col("l"), "left")
-    # A text of block b meets each block j in the task of (b, j).
-    rows = rows.select("list", "key", "one", "two", F.pmod(F.xxhash64("key", F.lit(SEED)), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    low, high = F.least("b", "j").cast("long"), F.greatest("b", "j").cast("long")
-    task = F.shiftleft("list", 2 * BLOCK_BITS) + low * (1 << BLOCK_BITS) + high
-    rows = rows.select(task.alias("task"), F.when(F.col("b") == low, 0).otherwise(1).cast("byte").alias("side"), "key", "one", "two")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "u long, v long").distinct()
+
+    def met(rooted: DataFrame, lists: Iterable[int]) -> DataFrame:
+        blocks = F.least(F.ceil(F.coalesce("n", F.lit(1)) / block), F.lit(1 << BLOCK_BITS)).cast("int")
+        rows = rooted.mapInArrow(_post(lists), schema).join(long, F.col("list") == F.col("l"), "left")
+        # A text of block b meets each block j in the task of (b, j).
+        rows = rows.select("list", "root", "one", "two", F.pmod(F.xxhash64("key", F.lit(SEED)), blocks).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+        low, high = F.least("b", "j").cast("long"), F.greatest("b", "j").cast("long")
+        task = F.shiftleft("list", 2 * BLOCK_BITS) + low * (1 << BLOCK_BITS) + high
+        rows = rows.select(task.alias("task"), "root", F.when(F.col("b") == low, 0).otherwise(1).cast("byte").alias("side"), "one", "two")
+        return rows.repartition("task").sortWithinPartitions("task", "root", "side").mapInArrow(_link, "u long, v long").distinct()
+
+    first = connected_components(met(rooted, FIRST))
+    rooted = prints.join(first, F.col("key") == F.col("u"), "left").select("key", F.coalesce("v", "key").alias("root"), "print")
+    return first.unionByName(met(rooted, [i for i in range(LISTS) if i not in FIRST]))
 
 
 def forest(sets: list[np.ndarray], split: int) -> Iterator[tuple[int, int]]:
@@ -246,9 +300,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_split = sides.count(0) if any(sides) else 0
         if len(keys) < 2 or task_split == 0 and any(sides):
             continue
-        edges = [(keys[i], keys[j]) for i, j in forest(list(sets), task_split)]
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges], pa.int64()), pa.array([min(e) for e in edges], pa.int64())], names=["u", "v"])
+        pairs = np.array(list(forest(list(sets), task_split)), dtype=np.int64).reshape(-1, 2)
+        yield from _edges(*stars(pairs[:, 0], pairs[:, 1], np.array(sides), np.array(keys, dtype=np.int64)))
 
 
 def near_components(docs: DataFrame, text_col: str = "text", block: int = 1024) -> DataFrame:

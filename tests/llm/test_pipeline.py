@@ -182,6 +182,56 @@ def test_near_copies_are_found_by_positional_bytes(spark):
         assert {(r["u"], r["v"]) for r in near.link_prints(rows, block).collect()} == edges
 
 
+def test_large_groups_meet_in_few_edges(spark):
+    np, rng = near.np, random.Random(7)
+
+    def group(n):
+        shared = [rng.getrandbits(64) for _ in range(90)]
+        return [near.fingerprint(np.array(shared + [rng.getrandbits(64) for _ in range(10)], dtype=np.uint64)) for _ in range(n)]
+
+    prints = group(400) + [p for _ in range(30) for p in group(6)]
+    lists, *carried = near.postings(np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1))
+    linked = np.zeros((len(prints), len(prints)), dtype=bool)
+    for at in range(near.LISTS):
+        word = np.ascontiguousarray(np.stack([c[:, at] for c in carried], axis=1))
+        x = (word[:, None] ^ word[None]).view(np.uint8)
+        bits = np.bitwise_count(x).sum(axis=2, dtype=np.int64)
+        linked |= (lists[:, None, at] == lists[None, :, at]) & ((x == 0).sum(axis=2) >= near.LEAST_BYTES) & (bits <= near.MOST_BITS)
+
+    def closure(edges):
+        label = list(range(len(prints)))
+        for u, v in edges:
+            if label[u] != label[v]:
+                label = [label[v] if k == label[u] else k for k in label]
+        return [label.index(k) for k in label]
+
+    want = closure(np.argwhere(linked).tolist())
+    assert want[:400] == [0] * 400 and len(set(want)) > 20
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, prints))), "key long, print binary")
+    for block in (4096, 32):
+        edges = [(r["u"], r["v"]) for r in near.link_prints(rows, block).collect()]
+        assert closure(edges) == want
+        assert all(u > v for u, v in edges) and len(set(edges)) == len(edges) <= 3 * len(prints)
+
+
+def test_near_copies_met_in_all_lists_are_joined_once(spark, monkeypatch):
+    rng, met = random.Random(8), []
+    joined = near.connected_components
+    monkeypatch.setattr(near, "connected_components", lambda edges: met.append(edges.count()) or joined(edges))
+    words = [f"w{n}" for n in range(150)]
+    texts = []
+    for _ in range(500):
+        copy = list(words)
+        copy[rng.randrange(150)] = f"x{rng.getrandbits(32)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for block in (1024, 50):
+        met.clear()
+        got = near.near_components(docs, block=block).collect()
+        assert len(got) == 500 and len({r["root"] for r in got}) == 1
+        assert max(met) <= 12 * 500
+
+
 def test_bpe_remembers_within_its_bound():
     from cairn.llm import bpe
 
